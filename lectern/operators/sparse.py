@@ -29,11 +29,15 @@ POSTINGS_PER_BLOCK = 1_000_000
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``docs(doc_id, dl, counts)``, ``terms(term, df, idf)`` and one-row ``stats``."""
+    """``docs(doc_id, dl, counts)``, ``terms(term, df, idf)`` and one-row ``stats``.
+
+    A stored index also has ``buckets``: postings in folders by term hash.
+    """
 
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
+    buckets: DataFrame | None = None
 
 
 def counted_terms(df: DataFrame, tokens: Column, id_col: str, out_id: str) -> DataFrame:
@@ -50,7 +54,11 @@ def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def bm25_index(corpus: DataFrame, tokenizer: Tokenizer = space_tokens, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
     """Term counts, document frequencies and corpus statistics of a de-duplicated corpus."""
-    docs = counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id")
+    return bm25_from_docs(counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id"))
+
+
+def bm25_from_docs(docs: DataFrame) -> Bm25Index:
+    """The index of documents whose terms are counted already."""
     sizes = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     n_docs = sizes.select("n_docs").scalar()
     frequency = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
@@ -64,9 +72,14 @@ def bm25_index(corpus: DataFrame, tokenizer: Tokenizer = space_tokens, doc_id: s
 
 def bm25_doc_weights(index: Bm25Index) -> DataFrame:
     """Saturated, length-normalised term weights ``(doc_id, term, dw)``, without idf."""
+    return saturated(postings(index.docs), index)
+
+
+def saturated(rows: DataFrame, index: Bm25Index) -> DataFrame:
+    """The weight of each posting ``(doc_id, dl, term, tf)``."""
     avgdl = index.stats.select("avgdl").scalar()
     norm = K1 * (1 - B + B * F.col("dl") / avgdl)
-    return postings(index.docs).select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("dw"))
+    return rows.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("dw"))
 
 
 def bm25_question_weights(
