@@ -52,7 +52,7 @@ def _no_ints() -> Column:
 
 
 def _append_sum(acc: Column, x: Column) -> Column:
-    return F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x))
+    return F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
 
 
 def value_counts(values: Column) -> Column:

@@ -42,7 +42,8 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_pr
         scores = np.round(similarity(np.stack(v.to_numpy()), table.value, metric), 6)
         return pd.Series(ids[scores.argmin(axis=1) if metric == "l2" else scores.argmax(axis=1)])
 
-    return vectors.withColumn("cluster_id", nearest(as_double(F.col(vec))))
+    # Not repeated in filters the optimizer derives from later joins.
+    return vectors.withColumn("cluster_id", nearest.asNondeterministic()(as_double(F.col(vec))))
 
 
 def ivf_build(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:

@@ -78,13 +78,13 @@ def align_answer(chunks: DataFrame) -> DataFrame:
     Position 0 (the class token) marks windows that do not hold the whole answer.
     """
     offsets = F.col("offsets")
-    begin = F.col("answers.answer_start")[0]
-    end = begin + F.length(F.col("answers.text")[0])
+    begin = F.get("answers.answer_start", F.lit(0))
+    end = begin + F.length(F.get("answers.text", F.lit(0)))
     inside = (
         (F.size("answers.answer_start") > 0)
         & (F.size(offsets) > 0)
         & (F.get(offsets, F.lit(0))["s"] <= begin)
-        & (F.element_at(offsets, -1)["e"] >= end)
+        & (F.try_element_at(offsets, F.lit(-1))["e"] >= end)
     )
     first = F.size(F.filter(offsets, lambda o: o["s"] <= begin)) - 1
     last = F.size(F.filter(offsets, lambda o: o["e"] < end))

@@ -38,6 +38,7 @@ class Bm25Index:
     terms: DataFrame
     stats: DataFrame
     buckets: DataFrame | None = None
+    n_buckets: int = 0
 
 
 def counted_terms(df: DataFrame, tokens: Column, id_col: str, out_id: str) -> DataFrame:
