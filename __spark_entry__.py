@@ -32,7 +32,7 @@ MODELS = ("base", "partner", "challenger", "fourth", "fifth")
 
 
 def _load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.read_table(spark, f"{sf}/{name}.parquet", heavy=name in ("documents", "pages", "conversations"))
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,7 +451,7 @@ def dense_single(spark, sf):
 
 def l2_normalized(spark, sf):
     """Vectors moved off the unit sphere, normalised again."""
-    e = _load(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3 + 1).alias("v"))
+    e = _load(spark, sf, "embeddings").select("vec_id", F.transform(as_double(F.col("embedding")), lambda x: x * 3 + 1).alias("v"))
     unit = e.select("vec_id", l2_normalize(F.col("v")).alias("u"))
     values = unit.select("vec_id", F.posexplode("u").alias("dim", "u"))
     return values.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("u", 4).alias("u"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK = 256
+CHUNK = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

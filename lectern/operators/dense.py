@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,16 +75,17 @@ def dense_topk(
     matrix = spark.sparkContext.broadcast(np.array([r[1] for r in block], dtype=float))
     schema = f"qid {_type_of(questions, 'qid')}, doc_id {_type_of(passages, 'doc_id')}, score double"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            if len(batch) and len(ids):
-                hits = _best_hits(ids, matrix.value, batch["doc_id"].to_numpy(), _matrix(batch["v"]), k, metric)
+            if batch.num_rows and len(ids):
+                doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                hits = _best_hits(ids, matrix.value, doc_ids, arrow_matrix(batch.column("v")), k, metric)
                 best = hits if best is None else _merge_hits(best, hits, k, metric)
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    hits = passages.select("doc_id", as_double(F.col(vec)).alias("v")).mapInPandas(scan, schema)
+    hits = passages.select("doc_id", F.col(vec).alias("v")).mapInArrow(scan, schema)
     return top_k(hits, "qid", k, largest=metric != "l2").select("qid", "rank", "doc_id", "score")
 
 
@@ -151,6 +153,12 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float)
 
 
+def arrow_matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of a list column of equal lengths as a matrix."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(float).reshape(len(vectors), -1)
+
+
 def similarity(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     """Scores of all rows of ``q`` against all rows of ``p``."""
     product = q @ p.T

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.vectors import as_double, l2_normalize
-from lectern.operators.dense import cell_topk, dense_topk, similarity
+from lectern.operators.dense import arrow_matrix, cell_topk, dense_topk, similarity
+from lectern.operators.ranking import SCORE_DIGITS
 
 # The centroid table is held by every task, so its size is checked.
 MAX_CENTROIDS = 65536
@@ -32,18 +37,18 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_pr
     if len(rows) > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
     rows = sorted(rows, key=lambda r: r[0])
-    ids = np.array([r[0] for r in rows])
+    id_type = centroids.schema["cluster_id"].dataType
+    ids = pa.array([r[0] for r in rows], to_arrow_type(id_type))
     table = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=float))
 
-    @F.pandas_udf(centroids.schema["cluster_id"].dataType)
-    def nearest(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=ids.dtype)
-        scores = np.round(similarity(np.stack(v.to_numpy()), table.value, metric), 6)
-        return pd.Series(ids[scores.argmin(axis=1) if metric == "l2" else scores.argmax(axis=1)])
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = np.round(similarity(arrow_matrix(batch.column(vec)), table.value, metric), SCORE_DIGITS)
+                nearest = scores.argmin(axis=1) if metric == "l2" else scores.argmax(axis=1)
+                yield batch.append_column("cluster_id", ids.take(pa.array(nearest)))
 
-    # Not repeated in filters the optimizer derives from later joins.
-    return vectors.withColumn("cluster_id", nearest.asNondeterministic()(as_double(F.col(vec))))
+    return vectors.mapInArrow(assign, T.StructType([*vectors.schema.fields, T.StructField("cluster_id", id_type)]))
 
 
 def ivf_build(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:

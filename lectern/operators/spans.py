@@ -110,47 +110,66 @@ def predictions(
 
     ``nbest`` is an array of ``(text, start_logit, end_logit, score, probability)``. It
     holds at most ``n`` entries, one more for a null answer that was ranked out.
+    Features are read once: each sends its ``n`` best spans and its null answer.
     """
-    spans = span_pairs(features, n, max_answer_length, max_context, keep=n)
-    columns = ["id", "score", "chunk", "start_rank", "end_rank", "start_logit", "end_logit", "s", "e"]
-    candidates = spans.select(*columns)
-    nulls = null_score(features)
+    spans = F.slice(F.sort_array(_pairs(max_answer_length, n, max_context)), 1, n)
+    sent = F.transform(spans, lambda x: _entry(F.lit(False), x["cost"], x))
     if with_null:
-        # The null answer is appended last, so it loses ties against every span.
-        behind = F.lit((1 << 62)).alias("chunk")
-        zero = [F.lit(0).alias(c) for c in ("start_rank", "end_rank")]
-        as_span = nulls.select(
-            "id", F.col("null_score").alias("score"), behind, *zero, "start_logit", "end_logit", F.lit(0).alias("s"), F.lit(0).alias("e")
-        )
-        candidates = candidates.unionByName(as_span)
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "chunk", "start_rank", "end_rank")
-    kept = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    entry = F.struct("rank", "start_logit", "end_logit", "score", "s", "e")
-    grouped = kept.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("spans"))
-    rows = examples.select("id", "context").join(grouped, "id", "left")
-    if with_null:
-        null_entry = F.struct("start_logit", "end_logit", F.col("null_score").alias("score")).alias("null")
-        rows = rows.join(nulls.select("id", "null_score", null_entry), "id", "left")
-    else:
-        rows = rows.withColumn("null_score", F.lit(None).cast("double"))
+        sent = F.concat(sent, F.array(_null_entry()))
+    rows = features.select("id", F.explode(sent).alias("x")).select("id", "x.*")
+    # Spans compete for the largest score, null answers for the smallest.
+    order = Window.partitionBy("id", "is_null").orderBy("cost", "chunk", "start_rank", "end_rank")
+    kept = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    entry = F.struct("rank", "start_logit", "end_logit", (F.col("start_logit") + F.col("end_logit")).alias("score"), "s", "e")
+    grouped = kept.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("is_null"), entry))).alias("spans"),
+        F.min(F.when(F.col("is_null"), entry)).alias("null"),
+    )
+    joined = examples.select("id", "context").join(grouped, "id", "left")
+    found = F.coalesce("spans", F.array().cast(grouped.schema["spans"].dataType))
+    chosen = let(found, lambda x: _with_null(x, F.col("null"), n)) if with_null else found
 
-    def answer(x: Column, text: Column) -> Column:
+    def answer(x: Column) -> Column:
+        text = F.substring(F.col("context"), x["s"] + 1, x["e"] - x["s"])
         return F.struct(text.alias("text"), x["start_logit"].alias("start_logit"), x["end_logit"].alias("end_logit"), x["score"].alias("score"))
 
-    spans_col = F.coalesce("spans", F.array().cast(grouped.schema["spans"].dataType))
-    answers = F.transform(spans_col, lambda x: answer(x, F.substring(F.col("context"), x["s"] + 1, x["e"] - x["s"])))
-    if with_null:
-        ranked_in = F.exists(spans_col, lambda x: (x["s"] == 0) & (x["e"] == 0))
-        missing = F.col("null").isNotNull() & ~ranked_in
-        answers = F.when(missing, F.concat(answers, F.array(answer(F.col("null"), F.lit(""))))).otherwise(answers)
+    answers = let(F.transform(chosen, answer), _never_empty)
+    return joined.select("id", F.col("null.score").alias("null_score"), let(answers, softmax).alias("nbest"))
+
+
+def _entry(is_null: Column, cost: Column, x: Column) -> Column:
+    names = ["start_rank", "end_rank", "start_logit", "end_logit", "s", "e"]
+    return F.struct(is_null.alias("is_null"), cost.alias("cost"), F.col("chunk"), *[x[n].alias(n) for n in names])
+
+
+def _null_entry() -> Column:
+    first = lambda c: F.col(c)[0].cast("double")
+    zero = F.lit(0)
+    x = {
+        "start_rank": zero, "end_rank": zero, "start_logit": first("start_logits"), "end_logit": first("end_logits"), "s": zero, "e": zero
+    }
+    return _entry(F.lit(True), first("start_logits") + first("end_logits"), x)
+
+
+def _with_null(spans: Column, null: Column, n: int) -> Column:
+    """Put the null answer at its place; it loses ties, and is appended when it ranks below ``n``."""
+    merged = F.slice(
+        F.concat(
+            F.filter(spans, lambda x: x["score"] >= null["score"]), F.array(null), F.filter(spans, lambda x: x["score"] < null["score"])
+        ),
+        1,
+        n,
+    )
+    ranked_in = lambda m: F.exists(m, lambda x: (x["s"] == 0) & (x["e"] == 0))
+    complete = let(merged, lambda m: F.when(ranked_in(m), m).otherwise(F.concat(m, F.array(null))))
+    return F.when(null.isNotNull(), complete).otherwise(spans)
 
-    def never_empty(a: Column) -> Column:
-        zero = F.lit(0.0)
-        filler = F.struct(F.lit(EMPTY_TEXT).alias("text"), zero.alias("start_logit"), zero.alias("end_logit"), zero.alias("score"))
-        blank = (F.size(a) == 0) | ((F.size(a) == 1) & (F.get(a, F.lit(0))["text"] == ""))
-        return F.when(blank, F.concat(F.array(filler), a)).otherwise(a)
 
-    return rows.select("id", "null_score", let(let(answers, never_empty), softmax).alias("nbest"))
+def _never_empty(answers: Column) -> Column:
+    zero = F.lit(0.0)
+    filler = F.struct(F.lit(EMPTY_TEXT).alias("text"), zero.alias("start_logit"), zero.alias("end_logit"), zero.alias("score"))
+    blank = (F.size(answers) == 0) | ((F.size(answers) == 1) & (F.get(answers, F.lit(0))["text"] == ""))
+    return F.when(blank, F.concat(F.array(filler), answers)).otherwise(answers)
 
 
 def softmax(answers: Column) -> Column:

@@ -22,6 +22,17 @@ NBEST_ENTRY = "struct<text:string,start_logit:double,end_logit:double,probabilit
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
 
+def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
+    """A Parquet table. ``heavy`` tables feed long per-row work such as tokenising.
+
+    When the scan of a heavy table has fewer splits than the session has cores, its rows
+    are spread over the cores. A large table has more splits and is left as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df
+
+
 def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool) -> DataFrame:
     """``(key, value)`` rows of JSON objects: one object per line, or one per file."""
     objects = spark.read.text(path, wholetext=whole_file).select(

@@ -272,7 +272,7 @@ SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM {grams('q', 'qid', 'question
     out["dense_topk"] = dense_hits
     out["dense_topk_block"] = dense_hits
     out["dense_single"] = f"WITH {CORPUS}, one AS ({one}), {encoded('pv', 'corpus', 'doc_id', 'text')}, {single_vector}, {vector_hits(10)} {show}"
-    out["l2_normalized"] = """WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, (unnest(embedding) * 3::FLOAT + 1::FLOAT)::DOUBLE AS x FROM embeddings)
+    out["l2_normalized"] = """WITH c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE * 3 + 1 AS x FROM embeddings)
 SELECT vec_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 4) AS u FROM c"""
     out["ivf_assign"] = f"""WITH {EMBEDDED}, {CENTROIDS} SELECT doc_id, cluster_id::BIGINT AS cluster_id FROM
   (SELECT doc_id, cluster_id, row_number() OVER (PARTITION BY doc_id ORDER BY round({distance('v', 'c', 'l2')}, 6), cluster_id) AS r FROM pv, cent) WHERE r = 1"""
