@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 import oracle_queries
 from lectern.functions import text as tx
+from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import as_double, l2_norm, l2_normalize
 from lectern.operators import corpus as co
 from lectern.operators import dense, ensemble, fusion, ivf, metrics, prepare, profile, sparse, spans, tfidf
 from lectern.plans import reading, retrieval
-from lectern.session import new_dir
+from lectern.session import materialized, new_dir
 from lectern.sources import index as stored
 from lectern.sources import readers, writers
 
@@ -51,9 +52,10 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     four = lambda text, i: F.array_join(F.slice(F.split(text, " "), i, 4), " ")
     q = _questions(spark, sf).withColumn("gram", four(F.col("question"), 2))
     tokens = F.split("text", " ")
-    grams = F.explode(F.array_distinct(tx.ngrams(tokens, 4, 4))).alias("gram")
-    found = _corpus(spark, sf).select("doc_id", "text", grams).join(q, "gram")
-    return found.where(F.contains("text", "question")).select("qid", "doc_id", "question", "text")
+    grams = F.array_distinct(tx.ngrams(tokens, 4, 4))
+    found = rows_of(_corpus(spark, sf), ["doc_id", "text"], grams, "gram").join(q, "gram")
+    pairs = found.where(F.contains("text", "question")).select("qid", "doc_id", "question", "text")
+    return materialized(pairs, "gold")
 
 
 def _vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -502,7 +504,9 @@ def hybrid_topk(spark, sf):
 
 def _contexts(spark, sf):
     corpus = _corpus(spark, sf)
-    return fusion.assemble_context(sparse.bm25_topk(_questions(spark, sf), sparse.bm25_index(corpus), 10), corpus)
+    questions = _questions(spark, sf)
+    hits = sparse.bm25_topk(questions, sparse.bm25_index(corpus), 10)
+    return fusion.assemble_context(hits, corpus, sparse.hit_bound(questions, 10))
 
 
 def assemble_context(spark, sf):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 64
@@ -22,6 +22,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rows_of(df: DataFrame, keep: list[str], values: Column, name: str = "item") -> DataFrame:
+    """``keep`` columns and one row per element of an array of non-null elements.
+
+    A plain ``explode`` makes the optimizer filter on the size of the array first, which
+    computes a long array expression a second and third time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def running_ends(lengths: Column) -> Column:
     """Running sum of an INT array, as an array of the same size.
 

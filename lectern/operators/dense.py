@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -31,19 +30,26 @@ def hash_encoder(dim: int = 64) -> Encoder:
     Bits 0-31 of a token's MD5 choose the component, the next hex digit the sign.
     """
 
-    def load() -> Callable[[np.ndarray], np.ndarray]:
-        @lru_cache(maxsize=1 << 18)
-        def place(token: str) -> tuple[int, int]:
+    class Slots(dict):
+        """Component of each token seen; tokens with a negative sign use ``dim`` and up."""
+
+        def __missing__(self, token: str) -> int:
             digest = md5(token.encode()).hexdigest()
-            return int(digest[:8], 16) % dim, 1 if digest[8] < "8" else -1
+            slot = int(digest[:8], 16) % dim + (0 if digest[8] < "8" else dim)
+            if len(self) >= 1 << 19:
+                self.clear()
+            self[token] = slot
+            return slot
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        slots = Slots()
 
         def encode(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
-                if text is None:
-                    continue
-                slots = np.array([place(t) for t in text.split(" ")])
-                out[row] = np.bincount(slots[:, 0], weights=slots[:, 1], minlength=dim)
+                if text is not None:
+                    counts = np.bincount([slots[t] for t in text.split(" ")], minlength=2 * dim)
+                    out[row] = counts[:dim] - counts[dim:]
             norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.arrays import let
+from lectern.functions.arrays import let, rows_of
 from lectern.functions.text import Tokenizer, compact_key, hash32, is_blank, space_tokens, token_ids, token_spans
 from lectern.operators.ranking import with_hashed_position, with_position
 from lectern.operators.sparse import Bm25Index, bm25_top_n
@@ -69,7 +69,7 @@ def chunk_windows(
     cut_up = let(tokenizer(F.col("context")), lambda t: let(fits, lambda room: windows(t, room)))
     kept = ["id"] + (["answers"] if "answers" in examples.columns else [])
     context_start = (n_question + specials - 1).cast("long").alias("context_start")
-    return examples.select(*kept, context_start, F.explode(cut_up).alias("w")).select(*kept, "context_start", "w.*")
+    return rows_of(examples, [*kept, context_start], cut_up, "w").select(*kept, "context_start", "w.*")
 
 
 def align_answer(chunks: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def pack_blocks(
         cut = F.slice("tokens", (begin + 1).cast("int"), (stop - begin).cast("int"))
         return F.struct(b.cast("long").alias("block_id"), (F.col("start") + begin).alias("at"), cut.alias("part"))
 
-    pieces = placed.select("batch", "total", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select(
+    pieces = rows_of(placed, ["batch", "total"], F.transform(F.sequence(first, last), piece), "p").select(
         "batch", "total", "p.*"
     )
     whole = (F.col("block_id") < F.floor(F.col("total") / block)) | (F.col("total") < block)

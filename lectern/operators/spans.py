@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.arrays import let
+from lectern.functions.arrays import let, rows_of
 
 # Candidates kept, longest answer in tokens, text used when nothing is left.
 N_BEST = 20
@@ -33,8 +33,8 @@ def top_positions(features: DataFrame, n: int = N_BEST) -> DataFrame:
             lambda x, i: F.struct(F.lit(side).alias("side"), (i + 1).cast("long").alias("rank"), x["pos"].cast("long").alias("pos"), x["logit"].alias("logit")),
         )
 
-    both = F.explode(F.concat(ranked("start"), ranked("end"))).alias("p")
-    return features.select("id", "chunk", both).select("id", "chunk", "p.*")
+    both = F.concat(ranked("start"), ranked("end"))
+    return rows_of(features, ["id", "chunk"], both, "p").select("id", "chunk", "p.*")
 
 
 def _pairs(max_answer_length: int, n: int, max_context: str | None) -> Column:
@@ -82,7 +82,7 @@ def span_pairs(
     if keep is not None:
         pairs = F.slice(F.sort_array(pairs), 1, keep)
     columns = ["start_rank", "end_rank", "start_pos", "end_pos", "start_logit", "end_logit", "s", "e"]
-    exploded = features.select("id", "chunk", F.explode(pairs).alias("p"))
+    exploded = rows_of(features, ["id", "chunk"], pairs, "p")
     return exploded.select("id", "chunk", (-F.col("p.cost")).alias("score"), *[F.col(f"p.{c}").alias(c) for c in columns])
 
 
@@ -116,7 +116,7 @@ def predictions(
     sent = F.transform(spans, lambda x: _entry(F.lit(False), x["cost"], x))
     if with_null:
         sent = F.concat(sent, F.array(_null_entry()))
-    rows = features.select("id", F.explode(sent).alias("x")).select("id", "x.*")
+    rows = rows_of(features, ["id"], sent, "x").select("id", "x.*")
     # Spans compete for the largest score, null answers for the smallest.
     order = Window.partitionBy("id", "is_null").orderBy("cost", "chunk", "start_rank", "end_rank")
     kept = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -187,7 +187,7 @@ def softmax(answers: Column) -> Column:
 
 def span_nbest(predicted: DataFrame) -> DataFrame:
     """Long form ``(id, rank, text, start_logit, end_logit, score, probability)``."""
-    return predicted.select("id", F.posexplode("nbest").alias("pos", "a")).select(
+    return predicted.select("id", F.posexplode_outer("nbest").alias("pos", "a")).select(
         "id", (F.col("pos") + 1).cast("long").alias("rank"), "a.*"
     )
 

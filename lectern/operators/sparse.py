@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.arrays import value_counts
+from lectern.functions.arrays import rows_of, value_counts
 from lectern.functions.text import Tokenizer, space_tokens
 from lectern.operators.ranking import top_k
+from lectern.session import materialized
 
 # BM25 parameters.
 K1 = 1.5
@@ -24,6 +25,8 @@ EPSILON = 0.25
 
 # A question side up to this many (question, term) rows is broadcast.
 BROADCAST_TERMS = 1_000_000
+# Hits up to this many are broadcast when their texts are fetched.
+BROADCAST_HITS = 1_000_000
 POSTINGS_PER_BLOCK = 1_000_000
 
 
@@ -50,12 +53,15 @@ def counted_terms(df: DataFrame, tokens: Column, id_col: str, out_id: str) -> Da
 
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, dl, term, tf)``, one row per document and term."""
-    return docs.select(id_col, "dl", F.explode("counts").alias("c")).select(id_col, "dl", "c.term", "c.tf")
+    return rows_of(docs, [id_col, "dl"], F.col("counts"), "c").select(id_col, "dl", "c.term", "c.tf")
 
 
 def bm25_index(corpus: DataFrame, tokenizer: Tokenizer = space_tokens, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
-    """Term counts, document frequencies and corpus statistics of a de-duplicated corpus."""
-    return bm25_from_docs(counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id"))
+    """Term counts, document frequencies and corpus statistics of a de-duplicated corpus.
+
+    The counted documents are written once: frequencies, statistics and scoring all read them.
+    """
+    return bm25_from_docs(materialized(counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id"), "bm25-docs"))
 
 
 def bm25_from_docs(docs: DataFrame) -> Bm25Index:
@@ -102,7 +108,9 @@ def bm25_topk(
 ) -> DataFrame:
     """Best ``k`` documents per question, ``(qid, rank, doc_id, score)``."""
     weights = bm25_question_weights(questions, index, tokenizer, qid, text)
-    return sparse_topk(weights, bm25_doc_weights(index), k, blocked=_many_terms(questions, tokenizer, text, blocked))
+    if blocked is None:
+        blocked = many_terms(questions, tokenizer(F.col(text)))
+    return sparse_topk(weights, bm25_doc_weights(index), k, blocked)
 
 
 def bm25_search(spark: SparkSession, question: str, index: Bm25Index, k: int = 10, tokenizer: Tokenizer = space_tokens) -> DataFrame:
@@ -113,15 +121,23 @@ def bm25_search(spark: SparkSession, question: str, index: Bm25Index, k: int = 1
 
 def bm25_top_n(questions: DataFrame, index: Bm25Index, corpus: DataFrame, n: int = 5, **options) -> DataFrame:
     """Hits with their passage texts."""
-    return bm25_topk(questions, index, n, **options).join(corpus.select("doc_id", "text"), "doc_id")
+    return with_texts(bm25_topk(questions, index, n, **options), corpus, hit_bound(questions, n))
 
 
-def _many_terms(questions: DataFrame, tokenizer: Tokenizer, text: str, blocked: bool | None) -> bool:
+def many_terms(questions: DataFrame, tokens: Column) -> bool:
     """Is the question side too large to broadcast? Reads only the question texts."""
-    if blocked is not None:
-        return blocked
-    terms = questions.agg(F.sum(F.size(tokenizer(F.col(text))))).first()[0] or 0
-    return terms > BROADCAST_TERMS
+    return (questions.agg(F.sum(F.size(tokens))).first()[0] or 0) > BROADCAST_TERMS
+
+
+def hit_bound(questions: DataFrame, k: int) -> int:
+    """The most hits these questions can have."""
+    return questions.count() * k
+
+
+def with_texts(hits: DataFrame, corpus: DataFrame, bound: int | None = None) -> DataFrame:
+    """Join hits with their texts. Hits known to be few are broadcast, so the corpus is not shuffled."""
+    few = bound is not None and bound <= BROADCAST_HITS
+    return corpus.select("doc_id", "text").join(F.broadcast(hits) if few else hits, "doc_id")
 
 
 def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, blocked: bool = False) -> DataFrame:

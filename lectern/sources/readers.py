@@ -38,7 +38,8 @@ def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool)
     objects = spark.read.text(path, wholetext=whole_file).select(
         F.from_json("value", f"map<string,{value}>").alias("m")
     )
-    return objects.select(F.explode("m").alias("key", "value"))
+    # The outer form keeps the optimizer from parsing every object a second time for a size filter.
+    return objects.select(F.explode_outer("m").alias("key", "value")).where(F.col("key").isNotNull())
 
 
 def read_corpus(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
@@ -103,7 +104,7 @@ def read_predictions(spark: SparkSession, path: str, whole_file: bool = True) ->
 def read_nbest(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """``(id, rank, text, start_logit, end_logit, probability)`` rows of ``{id: [{...}]}`` objects."""
     rows = _json_objects(spark, path, f"array<{NBEST_ENTRY}>", whole_file)
-    entries = rows.select(F.col("key").alias("id"), F.posexplode("value").alias("pos", "e"))
+    entries = rows.select(F.col("key").alias("id"), F.posexplode_outer("value").alias("pos", "e")).where(F.col("pos").isNotNull())
     return entries.select("id", _rank(F.col("pos")).alias("rank"), "e.*")
 
 
