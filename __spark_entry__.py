@@ -32,8 +32,8 @@ MODELS = ("base", "partner", "challenger", "fourth", "fifth")
 # --- inputs -----------------------------------------------------------------
 
 
-def _load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return readers.read_table(spark, f"{sf}/{name}.parquet", heavy=name in ("documents", "pages", "conversations"))
+def _load(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    return readers.read_table(spark, f"{sf}/{name}.parquet", heavy)
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,12 +73,12 @@ def _centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf: str, metric: str) -> DataFrame:
-    return ivf.ivf_assign(_vectors(spark, sf, "doc_id"), _centroids(spark, sf), metric)
+    return materialized(ivf.ivf_assign(_vectors(spark, sf, "doc_id"), _centroids(spark, sf), metric), "cells")
 
 
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
     """One question per document; labelled good documents have their middle word as answer."""
-    docs = _load(spark, sf, "documents")
+    docs = _load(spark, sf, "documents", heavy=True)
     good = _load(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good"))
     words = F.split("text", " ")
     middle = F.floor(F.size(words) / 2).cast("int")
@@ -163,7 +163,7 @@ def _turn_id() -> Column:
 
 def _answer_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Each turn as prediction; references are the decorated turn (user) and the next turn."""
-    turns = _load(spark, sf, "conversations")
+    turns = _load(spark, sf, "conversations", heavy=True)
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     predicted = turns.select(_turn_id().alias("id"), F.col("text").alias("prediction_text"))
     decorated = F.when(F.col("role") == "user", F.concat(F.lit("The "), "text", F.lit("!"))).otherwise("none")
@@ -338,20 +338,20 @@ def resolve_columns(spark, sf):
 
 def token_counts(spark, sf):
     tokens = tx.tokenize(F.col("text"))
-    return _load(spark, sf, "documents").select(
+    return _load(spark, sf, "documents", heavy=True).select(
         "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct")
     )
 
 
 def ngrams_12(spark, sf):
     grams = tx.ngrams(tx.tokenize(F.lower("text")), 1, 2)
-    docs = _load(spark, sf, "documents").select("doc_id", grams.alias("g"))
+    docs = _load(spark, sf, "documents", heavy=True).select("doc_id", grams.alias("g"))
     return docs.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("grams_md5"))
 
 
 def pad_truncate(spark, sf):
     padded = tx.pad_truncate(tx.tokenize(F.col("text")), 512, F.lit("[PAD]"))
-    docs = _load(spark, sf, "documents").select("doc_id", padded.alias("p"))
+    docs = _load(spark, sf, "documents", heavy=True).select("doc_id", padded.alias("p"))
     total = F.aggregate("p.attention_mask", F.lit(0), lambda a, x: a + x)
     return docs.select("doc_id", F.md5(F.array_join("p.input_ids", " ")).alias("ids_md5"), total.cast("long").alias("n_real"))
 
@@ -423,7 +423,7 @@ def lsa_topk(spark, sf):
 
 
 def encode_hash(spark, sf):
-    docs = _encoded(_load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    docs = _encoded(_load(spark, sf, "documents", heavy=True).select("doc_id", "text"), "doc_id", "text")
     values = docs.select("doc_id", F.posexplode("embedding").alias("dim", "v"))
     return values.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("v").cast("double"), 4).alias("v"))
 
@@ -466,7 +466,8 @@ def ivf_build(spark, sf):
 
 
 def ivf_assign(spark, sf):
-    return _cells(spark, sf, "l2").select("doc_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    assigned = ivf.ivf_assign(_vectors(spark, sf, "doc_id"), _centroids(spark, sf), "l2")
+    return assigned.select("doc_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 def scalar_quantize(spark, sf):
@@ -660,7 +661,7 @@ def pack_blocks(spark, sf):
 
 
 def mask_tokens(spark, sf):
-    out = prepare.mask_tokens(prepare.hashed_ids(_load(spark, sf, "documents").select("doc_id", "text")))
+    out = prepare.mask_tokens(prepare.hashed_ids(_load(spark, sf, "documents", heavy=True).select("doc_id", "text")))
     chosen = F.size(F.filter("labels", lambda x: x != prepare.IGNORED_LABEL)).cast("long")
     return out.select(
         "doc_id", chosen.alias("n_chosen"), F.md5(F.array_join("input_ids", " ")).alias("input_md5"), F.md5(F.array_join("labels", " ")).alias("labels_md5")

@@ -99,9 +99,10 @@ def dense_topk_block(
     questions: DataFrame, passages: DataFrame, k: int = 10, metric: str = "inner_product", vec: str = "embedding"
 ) -> DataFrame:
     """The same result with both sides distributed in blocks."""
-    q = questions.select("qid", F.col(vec).alias("v"), F.lit(0).alias("cell"))
-    p = passages.select("doc_id", F.col(vec).alias("v"), F.lit(0).alias("cell"))
-    return cell_topk(q, p, k, metric)
+    nq, np_ = (_blocks(df.agg(F.count("*")).scalar(), rows) for df, rows in ((questions, QUESTIONS_PER_BLOCK), (passages, PASSAGES_PER_BLOCK)))
+    q = questions.select("qid", F.col(vec).alias("v"), F.lit(0).alias("cell"), nq.alias("nq"), np_.alias("np"))
+    p = passages.select("doc_id", F.col(vec).alias("v"), F.lit(0).alias("cell"), nq.alias("nq"), np_.alias("np"))
+    return _score_blocks(q, p, k, metric)
 
 
 def dense_search(spark: SparkSession, vector: list[float], passages: DataFrame, k: int = 10, metric: str = "inner_product") -> DataFrame:
@@ -125,16 +126,18 @@ def cell_topk(
     cell meets in one task, which multiplies two matrices and returns at most ``k``
     rows per question.
     """
-    q_blocks = _blocks_per_cell(questions, questions_per_block, "nq")
-    p_blocks = _blocks_per_cell(passages, passages_per_block, "np")
+    # One row per cell, so both tables of block counts are small.
+    q_blocks = questions.groupBy("cell").agg(_blocks(F.count("*"), questions_per_block).alias("nq"))
+    p_blocks = passages.groupBy("cell").agg(_blocks(F.count("*"), passages_per_block).alias("np"))
     blocks = F.broadcast(q_blocks.join(p_blocks, "cell"))
+    return _score_blocks(questions.join(blocks, "cell"), passages.join(blocks, "cell"), k, metric)
+
+
+def _score_blocks(questions: DataFrame, passages: DataFrame, k: int, metric: str) -> DataFrame:
+    """Send every question block to every passage block of its cell; ``nq`` and ``np`` are block counts."""
     every = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
-    q = questions.join(blocks, "cell").select(
-        "cell", (F.pmod(F.xxhash64("qid"), "nq") + 1).alias("qb"), every("np").alias("pb"), "qid", as_double(F.col("v")).alias("v")
-    )
-    p = passages.join(blocks, "cell").select(
-        "cell", every("nq").alias("qb"), (F.pmod(F.xxhash64("doc_id"), "np") + 1).alias("pb"), "doc_id", as_double(F.col("v")).alias("v")
-    )
+    q = questions.select("cell", (F.pmod(F.xxhash64("qid"), "nq") + 1).alias("qb"), every("np").alias("pb"), "qid", "v")
+    p = passages.select("cell", every("nq").alias("qb"), (F.pmod(F.xxhash64("doc_id"), "np") + 1).alias("pb"), "doc_id", "v")
     schema = f"qid {_type_of(questions, 'qid')}, doc_id {_type_of(passages, 'doc_id')}, score double"
 
     def score(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -146,9 +149,8 @@ def cell_topk(
     return top_k(hits, "qid", k, largest=metric != "l2").select("qid", "rank", "doc_id", "score")
 
 
-def _blocks_per_cell(df: DataFrame, rows_per_block: int, out: str) -> DataFrame:
-    """One row per cell, so it is small enough to broadcast."""
-    return df.groupBy("cell").agg(F.ceil(F.count("*") / rows_per_block).cast("long").alias(out))
+def _blocks(rows: Column, rows_per_block: int) -> Column:
+    return F.greatest(F.ceil(rows / rows_per_block), F.lit(1)).cast("long")
 
 
 def _type_of(df: DataFrame, name: str) -> str:

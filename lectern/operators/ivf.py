@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lectern.functions.vectors import as_double, l2_normalize
 from lectern.operators.dense import arrow_matrix, cell_topk, dense_topk, similarity
 from lectern.operators.ranking import SCORE_DIGITS
+from lectern.session import materialized
 
 # The centroid table is held by every task, so its size is checked.
 MAX_CENTROIDS = 65536
@@ -52,11 +53,11 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_pr
 
 
 def ivf_build(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Fit centroids and assign: ``(centroids, vectors with cluster_id)``."""
+    """Fit centroids and assign: ``(centroids, vectors with cluster_id)``; the latter are written once."""
     if metric == "inner_product":
         vectors = vectors.withColumn(vec, l2_normalize(F.col(vec)))
     centroids = ivf_fit(vectors, num_clusters, metric, seed, vec)
-    return centroids, ivf_assign(vectors, centroids, metric, vec)
+    return centroids, materialized(ivf_assign(vectors, centroids, metric, vec), "ivf-cells")
 
 
 def ivf_topk(

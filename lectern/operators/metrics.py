@@ -27,16 +27,20 @@ def recall_detail(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
 
     The hit list is shown as ids in rank order.
     """
-    found = gold.join(hits.select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
-    per_question = found.groupBy("qid").agg(F.min("rank").alias("best_rank"))
-    listed = (
-        hits.where(F.col("rank") <= k)
-        .groupBy("qid")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("top"))
-        .select("qid", F.array_join(F.transform("top", lambda x: x["doc_id"].cast("string")), " ").alias("top_ids"))
+    marked = hits.select("qid", "doc_id", "rank").join(gold.select("qid", "doc_id", F.lit(True).alias("is_gold")), ["qid", "doc_id"], "left")
+    # A question has at most the hits that were asked for; only the first k are listed.
+    per_question = marked.groupBy("qid").agg(
+        F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("best_rank"),
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "doc_id")))).alias("top"),
     )
+    ids = F.array_join(F.transform("top", lambda x: x["doc_id"].cast("string")), " ")
     is_in = F.coalesce((F.col("best_rank") <= k).cast("long"), F.lit(0).cast("long"))
-    return per_question.join(listed, "qid", "left").select("qid", "best_rank", is_in.alias("is_in"), F.coalesce("top_ids", F.lit("")).alias("top_ids"))
+    return (
+        gold.select("qid")
+        .distinct()
+        .join(per_question, "qid", "left")
+        .select("qid", "best_rank", is_in.alias("is_in"), F.coalesce(ids, F.lit("")).alias("top_ids"))
+    )
 
 
 def recall_at_k(hits: DataFrame, gold: DataFrame, ks: Sequence[int] = RECALL_DEPTHS) -> DataFrame:

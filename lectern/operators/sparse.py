@@ -66,7 +66,9 @@ def bm25_index(corpus: DataFrame, tokenizer: Tokenizer = space_tokens, doc_id: s
 
 def bm25_from_docs(docs: DataFrame) -> Bm25Index:
     """The index of documents whose terms are counted already."""
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    sizes = docs.agg(
+        F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum(F.size("counts")).alias("n_postings")
+    )
     n_docs = sizes.select("n_docs").scalar()
     frequency = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -110,7 +112,8 @@ def bm25_topk(
     weights = bm25_question_weights(questions, index, tokenizer, qid, text)
     if blocked is None:
         blocked = many_terms(questions, tokenizer(F.col(text)))
-    return sparse_topk(weights, bm25_doc_weights(index), k, blocked)
+    rows = index.stats.select("n_postings").scalar()
+    return sparse_topk(weights, bm25_doc_weights(index), k, blocked, rows)
 
 
 def bm25_search(spark: SparkSession, question: str, index: Bm25Index, k: int = 10, tokenizer: Tokenizer = space_tokens) -> DataFrame:
@@ -140,16 +143,16 @@ def with_texts(hits: DataFrame, corpus: DataFrame, bound: int | None = None) ->
     return corpus.select("doc_id", "text").join(F.broadcast(hits) if few else hits, "doc_id")
 
 
-def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, blocked: bool = False) -> DataFrame:
+def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, blocked: bool = False, doc_rows: Column | None = None) -> DataFrame:
     """Top ``k`` by sparse dot product of ``(qid, term, qw)`` and ``(doc_id, term, dw)``.
 
     With few questions their terms are broadcast: postings are filtered while they are
     scanned, scores are summed per task and only ``(question, document)`` sums are
     shuffled. Otherwise see ``_blocked_hits``. Documents without a common term are
-    not returned.
+    not returned. ``doc_rows`` is the number of rows of ``docs``, if known.
     """
     if blocked:
-        hits = _blocked_hits(questions, docs, k)
+        hits = _blocked_hits(questions, docs, k, doc_rows)
     else:
         hits = (
             docs.join(F.broadcast(questions), "term")
@@ -159,7 +162,7 @@ def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, blocked: bool = F
     return top_k(hits, "qid", k).select("qid", "rank", "doc_id", "score")
 
 
-def _blocked_hits(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _blocked_hits(questions: DataFrame, docs: DataFrame, k: int, doc_rows: Column | None) -> DataFrame:
     """Score question blocks against document blocks, each pair of blocks in its own task.
 
     Joining on the term would shuffle every (question, document) pair a common word
@@ -167,7 +170,9 @@ def _blocked_hits(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     returns at most ``k`` documents per question. Blocks are cut by id hash, so a
     common word is spread over all of them.
     """
-    q_blocks, d_blocks = _block_count(questions), _block_count(docs)
+    count = F.count("*")
+    q_blocks = _blocks(questions.agg(count).scalar())
+    d_blocks = _blocks(docs.agg(count).scalar() if doc_rows is None else doc_rows)
     q = questions.select(
         F.pmod(F.xxhash64("qid"), q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), d_blocks - 1)).alias("db"), "qid", "term", "qw"
     )
@@ -183,8 +188,8 @@ def _blocked_hits(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(score, schema)
 
 
-def _block_count(weights: DataFrame) -> Column:
-    return F.greatest(F.lit(1), F.ceil(weights.agg(F.count("*")).scalar() / POSTINGS_PER_BLOCK)).cast("long")
+def _blocks(rows: Column) -> Column:
+    return F.greatest(F.ceil(rows / POSTINGS_PER_BLOCK), F.lit(1)).cast("long")
 
 
 def score_sparse_cell(qs: pd.DataFrame, ds: pd.DataFrame, k: int) -> pd.DataFrame:
