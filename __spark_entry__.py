@@ -40,11 +40,16 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return co.dedup_corpus(_load(spark, sf, "documents").select("doc_id", "text"))
 
 
+def _corpus_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows written once, for queries that read the corpus several times."""
+    return materialized(_corpus(spark, sf), "corpus")
+
+
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _load(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def _gold(spark: SparkSession, sf: str) -> DataFrame:
+def _gold(spark: SparkSession, sf: str, corpus: DataFrame) -> DataFrame:
     """Pairs ``(qid, doc_id, question, text)`` where the passage contains the question text.
 
     Candidates share four words from inside the question; the containment is then tested.
@@ -53,7 +58,7 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     q = _questions(spark, sf).withColumn("gram", four(F.col("question"), 2))
     tokens = F.split("text", " ")
     grams = F.array_distinct(tx.ngrams(tokens, 4, 4))
-    found = rows_of(_corpus(spark, sf), ["doc_id", "text"], grams, "gram").join(q, "gram")
+    found = rows_of(corpus, ["doc_id", "text"], grams, "gram").join(q, "gram")
     pairs = found.where(F.contains("text", "question")).select("qid", "doc_id", "question", "text")
     return materialized(pairs, "gold")
 
@@ -245,8 +250,9 @@ def nbest_from_json(spark, sf):
 
 
 def csv_roundtrip(spark, sf):
-    hits = sparse.bm25_topk(_questions(spark, sf), sparse.bm25_index(_corpus(spark, sf)), 10)
-    texts = hits.join(_corpus(spark, sf), "doc_id").select("qid", "rank", "doc_id", "text")
+    corpus, questions = _corpus_table(spark, sf), _questions(spark, sf)
+    hits = sparse.bm25_topk(questions, sparse.bm25_index(corpus), 10)
+    texts = sparse.with_texts(hits, corpus, sparse.hit_bound(questions, 10)).select("qid", "rank", "doc_id", "text")
     path = writers.write_csv(texts, new_dir(spark, "csv"))
     back = readers.read_rows(spark, path, "qid long, rank long, doc_id long, text string")
     return back.select("qid", "rank", "doc_id", F.md5("text").alias("text_md5"))
@@ -264,7 +270,7 @@ def bm25_persisted_single(spark, sf):
 
 def reader_input(spark, sf):
     examples = _questions(spark, sf).withColumnRenamed("qid", "id")
-    out = retrieval.reader_input(examples, _corpus(spark, sf))
+    out = retrieval.reader_input(examples, _corpus_table(spark, sf))
     return out.select(F.md5("context").alias("context_md5"), "id", "question")
 
 
@@ -382,40 +388,40 @@ def tfidf_vocab(spark, sf):
     return vocab.select("term", "total", "df", F.round("idf", 4).alias("idf"))
 
 
-def _tfidf(spark, sf, max_features=50000):
-    return tfidf.tfidf_fit(_corpus(spark, sf), max_features)
-
-
 def tfidf_vectors(spark, sf):
-    model = _tfidf(spark, sf)
-    long = tfidf.tfidf_vectors(_corpus(spark, sf), model)
+    corpus = _corpus_table(spark, sf)
+    model = tfidf.tfidf_fit(corpus)
+    long = tfidf.tfidf_vectors(corpus, model)
     named = long.join(tfidf.tfidf_terms(spark, model), "term")
     return named.select("doc_id", F.col("name").alias("term"), F.round("weight", 4).alias("weight"))
 
 
 def tfidf_topk(spark, sf):
-    return _hits(tfidf.tfidf_topk(_questions(spark, sf), _corpus(spark, sf), _tfidf(spark, sf), 10))
+    corpus = _corpus_table(spark, sf)
+    return _hits(tfidf.tfidf_topk(_questions(spark, sf), corpus, tfidf.tfidf_fit(corpus), 10))
 
 
 def tfidf_single(spark, sf):
-    return _hits(tfidf.tfidf_search(spark, QUESTION, _corpus(spark, sf), _tfidf(spark, sf), 10))
+    corpus = _corpus_table(spark, sf)
+    return _hits(tfidf.tfidf_search(spark, QUESTION, corpus, tfidf.tfidf_fit(corpus), 10))
 
 
 def oov_questions(spark, sf):
     """Conversation turns without one of the 100 most frequent terms of the corpus."""
     turns = _load(spark, sf, "conversations").select(_turn_id().alias("qid"), F.col("text").alias("question"))
-    return tfidf.oov_questions(turns, _tfidf(spark, sf, 100)).select("qid")
+    return tfidf.oov_questions(turns, tfidf.tfidf_fit(_corpus_table(spark, sf), 100)).select("qid")
 
 
 def lsa_fit(spark, sf):
-    model = tfidf.lsa_fit(_corpus(spark, sf), _tfidf(spark, sf, 300), 8)
+    corpus = _corpus_table(spark, sf)
+    model = tfidf.lsa_fit(corpus, tfidf.tfidf_fit(corpus, 300), 8)
     rows = [(i, float(s)) for i, s in enumerate(model.singular_values)]
     return spark.createDataFrame(rows, "component long, singular_value double")
 
 
 def lsa_topk(spark, sf):
-    corpus = _corpus(spark, sf)
-    model = tfidf.lsa_fit(corpus, _tfidf(spark, sf, 300), 8)
+    corpus = _corpus_table(spark, sf)
+    model = tfidf.lsa_fit(corpus, tfidf.tfidf_fit(corpus, 300), 8)
     return _hits(tfidf.lsa_topk(_questions(spark, sf), corpus, model, 10))
 
 
@@ -500,11 +506,11 @@ def ivf_single(spark, sf):
 
 
 def hybrid_topk(spark, sf):
-    return _hits(retrieval.find(_questions(spark, sf), _corpus(spark, sf), "hybrid", retrieval.Options(dense_weight=5.0)))
+    return _hits(retrieval.find(_questions(spark, sf), _corpus_table(spark, sf), "hybrid", retrieval.Options(dense_weight=5.0)))
 
 
 def _contexts(spark, sf):
-    corpus = _corpus(spark, sf)
+    corpus = _corpus_table(spark, sf)
     questions = _questions(spark, sf)
     hits = sparse.bm25_topk(questions, sparse.bm25_index(corpus), 10)
     return fusion.assemble_context(hits, corpus, sparse.hit_bound(questions, 10))
@@ -514,9 +520,9 @@ def assemble_context(spark, sf):
     return _contexts(spark, sf).select("qid", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n"))
 
 
-def _gold_examples(spark, sf):
+def _gold_examples(spark, sf, corpus):
     """One example per gold pair, identified by question and passage."""
-    gold = _gold(spark, sf)
+    gold = _gold(spark, sf, corpus)
     answers = F.struct(F.array(F.lit(0)).alias("answer_start"), F.array("question").alias("text"))
     return gold.select(
         F.concat_ws("-", "qid", "doc_id").alias("id"), "question", F.col("text").alias("context"), answers.alias("answers")
@@ -524,7 +530,8 @@ def _gold_examples(spark, sf):
 
 
 def attach_gold(spark, sf):
-    out = retrieval.retrieve(_gold_examples(spark, sf), _corpus(spark, sf))
+    corpus = _corpus_table(spark, sf)
+    out = retrieval.retrieve(_gold_examples(spark, sf, corpus), corpus)
     return out.select(
         "id", F.md5("context").alias("context_md5"), F.md5("original_context").alias("gold_md5"),
         F.md5(F.col("answers.text")[0]).alias("answer_md5"),
@@ -534,7 +541,7 @@ def attach_gold(spark, sf):
 def retrieve_flow(spark, sf):
     """BM25 over all documents for all benchmark questions, ready for the reader."""
     examples = _questions(spark, sf).withColumnRenamed("qid", "id")
-    out = retrieval.retrieve(examples, _corpus(spark, sf))
+    out = retrieval.retrieve(examples, _corpus_table(spark, sf))
     return out.select(
         "id", F.md5("question").alias("question_md5"), F.md5("context").alias("context_md5"),
         F.size(F.split("context", " ")).cast("long").alias("n_tokens"),
@@ -552,16 +559,19 @@ def contains_accuracy(spark, sf):
 
 
 def _gold_hits(spark, sf):
-    return sparse.bm25_topk(_questions(spark, sf), sparse.bm25_index(_corpus(spark, sf)), 100)
+    """Hits to depth 100 and the gold pairs."""
+    corpus = _corpus_table(spark, sf)
+    hits = sparse.bm25_topk(_questions(spark, sf), sparse.bm25_index(corpus), 100)
+    return hits, _gold(spark, sf, corpus).select("qid", "doc_id")
 
 
 def recall_at_k(spark, sf):
-    out = metrics.recall_at_k(_gold_hits(spark, sf), _gold(spark, sf).select("qid", "doc_id"))
+    out = metrics.recall_at_k(*_gold_hits(spark, sf))
     return out.select("k", F.round("recall", 4).alias("recall"))
 
 
 def recall_detail(spark, sf):
-    detail = metrics.recall_detail(_gold_hits(spark, sf), _gold(spark, sf).select("qid", "doc_id"))
+    detail = metrics.recall_detail(*_gold_hits(spark, sf))
     return detail.select("qid", F.coalesce("best_rank", F.lit(-1)).alias("best_rank"), "is_in", "top_ids")
 
 
@@ -621,8 +631,8 @@ def best_so_far(spark, sf):
 
 
 def hard_negatives(spark, sf):
-    corpus = _corpus(spark, sf)
-    out = prepare.hard_negatives(_gold_examples(spark, sf), corpus, sparse.bm25_index(corpus))
+    corpus = _corpus_table(spark, sf)
+    out = prepare.hard_negatives(_gold_examples(spark, sf, corpus), corpus, sparse.bm25_index(corpus))
     return out.select("id", *[F.md5(f"passage_top{i}").alias(f"top{i}_md5") for i in (1, 2, 3)])
 
 
