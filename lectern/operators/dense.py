@@ -22,6 +22,8 @@ Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
 BROADCAST_VECTORS = 4096
 QUESTIONS_PER_BLOCK = 1024
 PASSAGES_PER_BLOCK = 16384
+# Scores held at a time by one task.
+SCORES_AT_ONCE = 2_000_000
 
 
 def hash_encoder(dim: int = 64) -> Encoder:
@@ -77,6 +79,7 @@ def dense_topk(
     if len(block) > BROADCAST_VECTORS:
         return dense_topk_block(questions, passages, k, metric, vec)
     spark = passages.sparkSession
+    block = [r for r in block if r[1] is not None]
     ids = np.array([r[0] for r in block])
     matrix = spark.sparkContext.broadcast(np.array([r[1] for r in block], dtype=float))
     schema = f"qid {_type_of(questions, 'qid')}, doc_id {_type_of(passages, 'doc_id')}, score double"
@@ -84,6 +87,8 @@ def dense_topk(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
+            # Null vectors are dropped here: a filter in the plan would run an encoder twice.
+            batch = batch.filter(batch.column("v").is_valid())
             if batch.num_rows and len(ids):
                 doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 hits = _best_hits(ids, matrix.value, doc_ids, arrow_matrix(batch.column("v")), k, metric)
@@ -141,6 +146,7 @@ def _score_blocks(questions: DataFrame, passages: DataFrame, k: int, metric: str
     schema = f"qid {_type_of(questions, 'qid')}, doc_id {_type_of(passages, 'doc_id')}, score double"
 
     def score(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        qs, ps = qs[qs["v"].notna()], ps[ps["v"].notna()]
         if not len(qs) or not len(ps):
             return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
         return _best_hits(qs["qid"].to_numpy(), _matrix(qs["v"]), ps["doc_id"].to_numpy(), _matrix(ps["v"]), k, metric)
@@ -179,6 +185,16 @@ def similarity(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """Best ``k`` passages of every question, scored in slices of bounded size."""
+    step = max(k, SCORES_AT_ONCE // max(len(qids), 1))
+    best = None
+    for at in range(0, len(p), step):
+        hits = _slice_hits(qids, q, doc_ids[at : at + step], p[at : at + step], k, metric)
+        best = hits if best is None else _merge_hits(best, hits, k, metric)
+    return best
+
+
+def _slice_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str) -> pd.DataFrame:
     order = np.argsort(doc_ids, kind="stable")
     doc_ids, p = doc_ids[order], p[order]
     scores = similarity(q, p, metric)

@@ -26,14 +26,14 @@ MAX_CENTROIDS = 65536
 def ivf_fit(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> DataFrame:
     """K-means centroids ``(cluster_id, centroid)``; vectors are normalised first for inner product."""
     values = l2_normalize(F.col(vec)) if metric == "inner_product" else as_double(F.col(vec))
-    features = vectors.select(array_to_vector(values).alias("features"))
+    features = vectors.where(F.col(vec).isNotNull()).select(array_to_vector(values).alias("features"))
     centers = KMeans(k=num_clusters, seed=seed, featuresCol="features").fit(features).clusterCenters()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
     return vectors.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_product", vec: str = "embedding") -> DataFrame:
-    """Add the nearest ``cluster_id`` to every vector; ties go to the smaller id. No shuffle."""
+    """Add the nearest ``cluster_id`` to every non-null vector; ties go to the smaller id. No shuffle."""
     rows = centroids.select("cluster_id", as_double(F.col("centroid"))).limit(MAX_CENTROIDS + 1).collect()
     if len(rows) > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
@@ -44,6 +44,7 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_pr
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(vec).is_valid())
             if batch.num_rows:
                 scores = np.round(similarity(arrow_matrix(batch.column(vec)), table.value, metric), SCORE_DIGITS)
                 nearest = scores.argmin(axis=1) if metric == "l2" else scores.argmax(axis=1)

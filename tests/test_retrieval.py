@@ -185,6 +185,23 @@ def test_exact_search(vectors, points, metric):
     same_hits(hits_of(dense.dense_topk_block(asked(vectors), vectors, 6, metric)), exact(points, 6, metric))
 
 
+@pytest.mark.parametrize("search", [dense.dense_topk, dense.dense_topk_block])
+def test_null_vectors_are_left_out(spark, vectors, points, search):
+    nulls = spark.createDataFrame([(500, None, 0)], vectors.schema)
+    with_null = vectors.union(nulls)
+    q = asked(vectors).union(nulls.withColumnRenamed("doc_id", "qid"))
+    same_hits(hits_of(search(q, with_null, 6)), exact(points, 6, "inner_product"))
+
+
+@pytest.mark.parametrize("step", [1, 50])
+def test_scores_are_made_in_slices(vectors, points, monkeypatch, step):
+    monkeypatch.setattr(dense, "SCORES_AT_ONCE", step)
+    q, p = points[:25].astype(float), points.astype(float)
+    got = dense._best_hits(np.arange(25), q, np.arange(len(p))[::-1], p[::-1], 6, "inner_product")
+    want = exact(points, 6, "inner_product")
+    assert {i: set(g["doc_id"]) for i, g in got.groupby("qid")} == {i: {x[1] for x in h} for i, h in want.items()}
+
+
 def test_many_questions_go_to_blocks(vectors, points, monkeypatch):
     monkeypatch.setattr(dense, "BROADCAST_VECTORS", 3)
     same_hits(hits_of(dense.dense_topk(asked(vectors), vectors, 6)), exact(points, 6, "inner_product"))
