@@ -59,18 +59,24 @@ def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def bm25_index(corpus: DataFrame, tokenizer: Tokenizer = space_tokens, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
     """Term counts, document frequencies and corpus statistics of a de-duplicated corpus.
 
-    The counted documents are written once: frequencies, statistics and scoring all read them.
+    The counted documents and the frequencies are written once: statistics, weights and
+    scoring all read them.
     """
-    return bm25_from_docs(materialized(counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id"), "bm25-docs"))
+    docs = materialized(counted_terms(corpus, tokenizer(F.col(text)), doc_id, "doc_id"), "bm25-docs")
+    return bm25_from_counts(docs, materialized(document_frequency(docs), "bm25-df"))
 
 
-def bm25_from_docs(docs: DataFrame) -> Bm25Index:
-    """The index of documents whose terms are counted already."""
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """``(term, df)``; reads the terms only."""
+    return rows_of(docs, [], F.col("counts.term"), "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25_from_counts(docs: DataFrame, frequency: DataFrame) -> Bm25Index:
+    """The index of counted documents and their document frequencies."""
     sizes = docs.agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum(F.size("counts")).alias("n_postings")
     )
     n_docs = sizes.select("n_docs").scalar()
-    frequency = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = frequency.withColumn("raw", raw)
     # The mean runs over the whole vocabulary, negative values included.

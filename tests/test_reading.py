@@ -159,7 +159,7 @@ def test_context_to_answer(examples):
     inputs = examples.select("context", "id", "question").where("id = 0")
     answers = reading.answer_questions(inputs, reader, 15, 4, n=20, max_answer_length=1).collect()
     words = EXAMPLES[0][2].split(" ")
-    assert answers[0].text in [words[1], words[7], words[13]] or answers[0].text == words[1]
+    assert [a.text for a in answers] == [words[1]]
 
 
 def test_pack_blocks(spark):
