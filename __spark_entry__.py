@@ -838,9 +838,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return retrieve_flow(spark, SMOKE_DIR)
 
 
+def _extra():
+    """The modules with further queries, if their subpackage is there."""
+    try:
+        from lectern.llm import queries as more
+        from lectern.llm import statements
+    except ImportError:
+        return None, None
+    return more, statements
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    more, _ = _extra()
+    return {q.__name__: q for q in _QUERIES} | (more.queries() if more else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements(QUESTION)
+    _, more = _extra()
+    return oracle_queries.statements(QUESTION) | (more.statements() if more else {})
