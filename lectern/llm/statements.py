@@ -41,9 +41,9 @@ WITH base AS (
     count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_ellipsis
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), counts AS (
-  SELECT b.doc_id, len(b.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(b.w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT b.doc_id, len(b.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(b.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-    len(list_filter(b.w, x -> lower(x) IN ({stops}))) AS n_stop,
+    len(list_filter(b.w, lambda x: lower(x) IN ({stops}))) AS n_stop,
     coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines,
     coalesce(l.n_bullet, 0) AS n_bullet, coalesce(l.n_ellipsis, 0) AS n_ellipsis,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words
