@@ -114,10 +114,7 @@ def members(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame
 
 @dataclass
 class Fit:
-    """What a document's rate follows from: step width, floor, and each step's gradient.
-
-    A step that made the residual larger starts the acceleration anew.
-    """
+    """What a document's rate follows from: step width, floor, and each step's gradient."""
 
     width: float
     floor: float
@@ -126,11 +123,9 @@ class Fit:
     def rates(self, shares: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates after all steps for rows of posteriors; ``ahead``: the point of the next gradient."""
         old = now = point = np.full(len(shares), max(1.0, self.floor))
-        t, size = 1.0, np.inf
+        t = 1.0
         for residual in self.steps:
             old, now = now, np.maximum(self.floor, point - self.width * (shares @ residual))
-            grown, size = np.linalg.norm(residual) > size, np.linalg.norm(residual)
-            t = 1.0 if grown else t
             longer = (1 + np.sqrt(1 + 4 * t * t)) / 2
             point, t = now + (t - 1) / longer * (now - old), longer
         return point if ahead else now

@@ -384,16 +384,11 @@ def _spread(s: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def _first_merge(s: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
-    """Places 0 and 1 modulo 3 by their symbol and the rank behind it.
-
-    The place behind the end that is in the sample is a row too (``i`` is -1): it counts in the ranks.
-    """
+    """Places 0 and 1 modulo 3 by their symbol and the rank behind it."""
     ranks, n = _spread(s, r), len(s)
-    at = np.concatenate([np.arange(0, n, 3), _samples(n)[0]])
-    padded = np.concatenate([s, np.zeros(4, np.int64)])
+    at = np.concatenate([np.arange(0, n, 3), np.arange(1, n, 3)])
     cls = (at % 3).astype(np.int32)
-    base = np.where(cls == 1, ranks[at], 1)
-    return {"i": np.where(at < n, at, -1), "cls": cls, "base": base, "c0": padded[at], "c1": ranks[at + 1]}
+    return {"i": at, "cls": cls, "base": np.where(cls == 1, ranks[at], 1), "c0": s[at], "c1": ranks[at + 1]}
 
 
 def _second_merge(s: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
@@ -418,11 +413,14 @@ def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
     names = less_counts(rows, ["c0", "c1", "c2"], own=True)
     sampled = _gathered(names, frame, lambda n: sum(map(len, _samples(n))))
     deeper = suffix_ranks(sampled.withColumnRenamed("r", "s"), levels - 1)
-    both = materialized(frame.join(deeper, "doc_id"), "ranks")
+    # samples that stand for no place come before all others and must not count in the ranks
+    extra = frame.where("n % 3 = 1").count()
+    both = frame.join(deeper, "doc_id").withColumn("r", F.transform("r", lambda x: x - extra))
+    both = materialized(both, "ranks")
     first = _exploded(both, ["s", "r"], _first_merge, "i long, cls int, base long, c0 long, c1 long")
     second = _exploded(both, ["s", "r"], _second_merge, "i long, cls int, base long, c0 long, c1 long, c2 long")
     merged_rows = less_counts(first, ["c0", "c1"], own=True).union(less_counts(second, ["c0", "c1", "c2"], own=False))
-    return _gathered(merged_rows.where("i >= 0"), frame, lambda n: n)
+    return _gathered(merged_rows, frame, lambda n: n)
 
 
 # --- repeats ---
