@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 import oracle_queries
 from lectern.functions import text as tx
 from lectern.functions.arrays import rows_of
-from lectern.functions.vectors import as_double, l2_norm, l2_normalize
+from lectern.functions.vectors import as_double, dot, l2_normalize
 from lectern.operators import corpus as co
 from lectern.operators import dense, ensemble, fusion, ivf, metrics, prepare, profile, sparse, spans, tfidf
+from lectern.operators.contain import containing
 from lectern.plans import reading, retrieval
 from lectern.session import materialized, new_dir
 from lectern.sources import index as stored
 from lectern.sources import readers, writers
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+LSA_COMPONENTS = 16
 QUESTION = "the of and Eauouon. thou oureadi der la de los"
 MODELS = ("base", "partner", "challenger", "fourth", "fifth")
 
@@ -32,8 +35,8 @@ MODELS = ("base", "partner", "challenger", "fourth", "fifth")
 # --- inputs -----------------------------------------------------------------
 
 
-def _load(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
-    return readers.read_table(spark, f"{sf}/{name}.parquet", heavy)
+def _load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return readers.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,17 +53,10 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str, corpus: DataFrame) -> DataFrame:
-    """Pairs ``(qid, doc_id, question, text)`` where the passage contains the question text.
-
-    Candidates share four words from inside the question; the containment is then tested.
-    """
-    four = lambda text, i: F.array_join(F.slice(F.split(text, " "), i, 4), " ")
-    q = _questions(spark, sf).withColumn("gram", four(F.col("question"), 2))
-    tokens = F.split("text", " ")
-    grams = F.array_distinct(tx.ngrams(tokens, 4, 4))
-    found = rows_of(corpus, ["doc_id", "text"], grams, "gram").join(q, "gram")
-    pairs = found.where(F.contains("text", "question")).select("qid", "doc_id", "question", "text")
-    return materialized(pairs, "gold")
+    """Pairs ``(qid, doc_id, question, text)`` where the passage contains the question text."""
+    questions, texts = _questions(spark, sf), corpus.select("doc_id", "text")
+    pairs = containing(questions, texts).join(questions, "qid").join(texts, "doc_id")
+    return materialized(pairs.select("qid", "doc_id", "question", "text"), "gold")
 
 
 def _vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,7 +79,7 @@ def _cells(spark: SparkSession, sf: str, metric: str) -> DataFrame:
 
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
     """One question per document; labelled good documents have their middle word as answer."""
-    docs = _load(spark, sf, "documents", heavy=True)
+    docs = _load(spark, sf, "documents")
     good = _load(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good"))
     words = F.split("text", " ")
     middle = F.floor(F.size(words) / 2).cast("int")
@@ -168,7 +164,7 @@ def _turn_id() -> Column:
 
 def _answer_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Each turn as prediction; references are the decorated turn (user) and the next turn."""
-    turns = _load(spark, sf, "conversations", heavy=True)
+    turns = _load(spark, sf, "conversations")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     predicted = turns.select(_turn_id().alias("id"), F.col("text").alias("prediction_text"))
     decorated = F.when(F.col("role") == "user", F.concat(F.lit("The "), "text", F.lit("!"))).otherwise("none")
@@ -252,7 +248,7 @@ def nbest_from_json(spark, sf):
 def csv_roundtrip(spark, sf):
     corpus, questions = _corpus_table(spark, sf), _questions(spark, sf)
     hits = sparse.bm25_topk(questions, sparse.bm25_index(corpus), 10)
-    texts = sparse.with_texts(hits, corpus, sparse.hit_bound(questions, 10)).select("qid", "rank", "doc_id", "text")
+    texts = sparse.with_texts(hits, corpus).select("qid", "rank", "doc_id", "text")
     path = writers.write_csv(texts, new_dir(spark, "csv"))
     back = readers.read_rows(spark, path, "qid long, rank long, doc_id long, text string")
     return back.select("qid", "rank", "doc_id", F.md5("text").alias("text_md5"))
@@ -344,24 +340,51 @@ def resolve_columns(spark, sf):
 
 def token_counts(spark, sf):
     tokens = tx.tokenize(F.col("text"))
-    return _load(spark, sf, "documents", heavy=True).select(
+    return _load(spark, sf, "documents").select(
         "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct")
     )
 
 
 def ngrams_12(spark, sf):
     grams = tx.ngrams(tx.tokenize(F.lower("text")), 1, 2)
-    docs = _load(spark, sf, "documents", heavy=True).select("doc_id", grams.alias("g"))
+    docs = _load(spark, sf, "documents").select("doc_id", grams.alias("g"))
     return docs.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("grams_md5"))
 
 
 def pad_truncate(spark, sf):
     padded = tx.pad_truncate(tx.tokenize(F.col("text")), 512, F.lit("[PAD]"))
-    docs = _load(spark, sf, "documents", heavy=True).select("doc_id", padded.alias("p"))
+    docs = _load(spark, sf, "documents").select("doc_id", padded.alias("p"))
     total = F.aggregate("p.attention_mask", F.lit(0), lambda a, x: a + x)
     return docs.select("doc_id", F.md5(F.array_join("p.input_ids", " ")).alias("ids_md5"), total.cast("long").alias("n_real"))
 
 
+def _tfidf_stored(spark, sf):
+    corpus = _corpus_table(spark, sf)
+    return corpus, *stored.tfidf_store(spark, new_dir(spark, "index"), corpus)
+
+
+def tfidf_persisted(spark, sf):
+    corpus, model, rows = _tfidf_stored(spark, sf)
+    return _hits(tfidf.tfidf_topk(_questions(spark, sf), corpus, model, 10, rows=rows))
+
+
+def tfidf_persisted_single(spark, sf):
+    corpus, model, rows = _tfidf_stored(spark, sf)
+    return _hits(tfidf.tfidf_search(spark, QUESTION, corpus, model, 10, rows))
+
+
+def dense_persisted(spark, sf):
+    vectors = stored.vectors_store(spark, new_dir(spark, "index"), lambda: _vectors(spark, sf, "doc_id"))
+    return _hits(dense.dense_topk(_vectors(spark, sf, "qid"), vectors, 10))
+
+
+def encode_truncated(spark, sf):
+    """Passages cut to their encoder's input length."""
+    docs = _load(spark, sf, "documents").select("doc_id", "text")
+    cut = dense.encode(docs, dense.hash_encoder(), max_tokens=32).select("doc_id", F.posexplode("embedding").alias("dim", "v"))
+    return cut.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("v").cast("double"), 4).alias("v"))
+
+
 # --- sparse retrieval -----------------------------------------------------------
 
 
@@ -375,8 +398,9 @@ def bm25_topk(spark, sf):
 
 
 def bm25_topk_block(spark, sf):
+    """The same questions in several passes over the documents."""
     index = sparse.bm25_index(_corpus(spark, sf))
-    return _hits(sparse.bm25_topk(_questions(spark, sf), index, 10, blocked=True))
+    return _hits(sparse.bm25_topk(_questions(spark, sf), index, 10, terms_per_pass=300))
 
 
 def bm25_single(spark, sf):
@@ -407,29 +431,49 @@ def tfidf_single(spark, sf):
 
 
 def oov_questions(spark, sf):
-    """Conversation turns without one of the 100 most frequent terms of the corpus."""
-    turns = _load(spark, sf, "conversations").select(_turn_id().alias("qid"), F.col("text").alias("question"))
-    return tfidf.oov_questions(turns, tfidf.tfidf_fit(_corpus_table(spark, sf), 100)).select("qid")
+    """Words of the pages, a question each, that no term of the corpus is."""
+    words = F.explode(F.array_distinct(tx.space_tokens(F.lower("html"))))
+    asked = _load(spark, sf, "pages").select(words.alias("question")).distinct().select(F.col("question").alias("qid"), "question")
+    return tfidf.oov_questions(asked, tfidf.tfidf_fit(_corpus_table(spark, sf))).select(F.md5("qid").alias("qid"))
 
 
-def lsa_fit(spark, sf):
+def _lsa(spark, sf):
     corpus = _corpus_table(spark, sf)
-    model = tfidf.lsa_fit(corpus, tfidf.tfidf_fit(corpus, 300), 8)
-    rows = [(i, float(s)) for i, s in enumerate(model.singular_values)]
-    return spark.createDataFrame(rows, "component long, singular_value double")
+    return corpus, tfidf.lsa_fit(corpus, tfidf.tfidf_fit(corpus), LSA_COMPONENTS)
+
+
+def lsa_fit(spark, sf):
+    """Whether the components are orthonormal, and the matrix that the singular values share out."""
+    corpus, model = _lsa(spark, sf)
+    v, s = model.components, model.singular_values
+    gap = float(abs(v.T @ v - np.eye(v.shape[1])).max())
+    falls = bool((np.diff(s) <= 1e-9).all() and s[-1] > 0)
+    facts = [(v.shape[1], gap < 1e-6, falls, v.shape[0])]
+    shape = spark.createDataFrame(facts, "components long, orthonormal boolean, falling boolean, terms long")
+    squares = tfidf.tfidf_rows(corpus, model.tfidf).agg(F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w)))
+    total = shape.withColumn("total", squares.scalar())
+    share = F.lit(float((s * s).sum())) <= F.col("total") + 1e-6
+    return total.withColumn("bounded", share).withColumn("total", F.round("total", 4))
 
 
 def lsa_topk(spark, sf):
-    corpus = _corpus_table(spark, sf)
-    model = tfidf.lsa_fit(corpus, tfidf.tfidf_fit(corpus, 300), 8)
-    return _hits(tfidf.lsa_topk(_questions(spark, sf), corpus, model, 10))
+    """The hits, with scores taken again from the stored projections."""
+    corpus, model = _lsa(spark, sf)
+    questions = _questions(spark, sf)
+    hits = materialized(tfidf.lsa_topk(questions, corpus, model, 10), "hits")
+    q = materialized(tfidf.lsa_vectors(questions, model, "question").select("qid", F.col("embedding").alias("q")), "lsa")
+    d = materialized(tfidf.lsa_vectors(corpus, model).select("doc_id", F.col("embedding").alias("d")), "lsa")
+    both = hits.join(q, "qid").join(d, "doc_id")
+    same = F.abs(dot(F.col("q"), F.col("d")) - F.col("score")) < 1e-6
+    best = both.groupBy("qid").agg(F.count("*").alias("n"), F.min(same).alias("same"), F.max("rank").alias("last"))
+    return best.select("qid", "n", "same", "last")
 
 
 # --- dense retrieval ------------------------------------------------------------
 
 
 def encode_hash(spark, sf):
-    docs = _encoded(_load(spark, sf, "documents", heavy=True).select("doc_id", "text"), "doc_id", "text")
+    docs = _encoded(_load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
     values = docs.select("doc_id", F.posexplode("embedding").alias("dim", "v"))
     return values.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("v").cast("double"), 4).alias("v"))
 
@@ -447,8 +491,6 @@ def dense_topk_block(spark, sf):
 
 
 def _question_vector() -> list[float]:
-    import numpy as np
-
     return dense.hash_encoder()()(np.array([QUESTION], dtype=object))[0].tolist()
 
 
@@ -466,9 +508,13 @@ def l2_normalized(spark, sf):
 
 
 def ivf_build(spark, sf):
+    """Each vector with whether no cell is nearer than its own."""
     centroids, cells = ivf.ivf_build(_vectors(spark, sf, "doc_id"), 16)
-    sizes = cells.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    return centroids.join(sizes, "cluster_id").select("cluster_id", "n", F.round(l2_norm(F.col("centroid")), 4).alias("norm"))
+    table = centroids.agg(F.collect_list(F.struct("cluster_id", "centroid"))).scalar()
+    product = lambda c: dot(F.col("embedding"), c["centroid"])
+    own = F.filter("table", lambda c: c["cluster_id"] == F.col("cluster_id"))
+    nearest = F.array_max(F.transform("table", product)) - F.transform(own, product)[0] < 1e-5
+    return cells.withColumn("table", table).select("doc_id", nearest.alias("nearest"))
 
 
 def ivf_assign(spark, sf):
@@ -513,7 +559,7 @@ def _contexts(spark, sf):
     corpus = _corpus_table(spark, sf)
     questions = _questions(spark, sf)
     hits = sparse.bm25_topk(questions, sparse.bm25_index(corpus), 10)
-    return fusion.assemble_context(hits, corpus, sparse.hit_bound(questions, 10))
+    return fusion.assemble_context(hits, corpus)
 
 
 def assemble_context(spark, sf):
@@ -648,6 +694,20 @@ def align_answer(spark, sf):
     return prepare.align_answer(_chunks(spark, sf)).select("id", "chunk", "start_position", "end_position")
 
 
+def _word_chunks(spark, sf):
+    return prepare.chunk_windows(_examples(spark, sf), tokenizer=tx.pattern_spans(r"[^ .,|!\n]+"))
+
+
+def chunk_windows_words(spark, sf):
+    """Windows of a tokenizer that drops punctuation and runs of spaces."""
+    cut = _word_chunks(spark, sf).where(F.size("tokens") > 0)
+    spans = F.transform("offsets", lambda o: o["s"] * 3 + o["e"])
+    return cut.select(
+        "id", "chunk", "token_start", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x).alias("offset_sum"),
+    )
+
+
 def inference_features(spark, sf):
     f = prepare.inference_features(_chunks(spark, sf))
     inside = F.filter("offset_mapping", lambda o: o.isNotNull())
@@ -671,7 +731,7 @@ def pack_blocks(spark, sf):
 
 
 def mask_tokens(spark, sf):
-    out = prepare.mask_tokens(prepare.hashed_ids(_load(spark, sf, "documents", heavy=True).select("doc_id", "text")))
+    out = prepare.mask_tokens(prepare.hashed_ids(_load(spark, sf, "documents").select("doc_id", "text")))
     chosen = F.size(F.filter("labels", lambda x: x != prepare.IGNORED_LABEL)).cast("long")
     return out.select(
         "doc_id", chosen.alias("n_chosen"), F.md5(F.array_join("input_ids", " ")).alias("input_md5"), F.md5(F.array_join("labels", " ")).alias("labels_md5")
@@ -814,7 +874,8 @@ def length_threshold(spark, sf):
 
 _QUERIES = (
     read_corpus_json, read_text_lines, flatten_nested_qa, qa_roundtrip, predictions_from_json, predictions_to_json,
-    nbest_from_json, csv_roundtrip, bm25_persisted, bm25_persisted_single, reader_input,
+    nbest_from_json, csv_roundtrip, bm25_persisted, bm25_persisted_single, tfidf_persisted, tfidf_persisted_single,
+    dense_persisted, encode_truncated, chunk_windows_words, reader_input,
     dedup_corpus, concat_splits, drop_columns, hash_split, percent_slice, take_first, drop_blank_lines,
     normalize_ws, compact_key, normalize_answer, resolve_columns,
     token_counts, ngrams_12, pad_truncate,

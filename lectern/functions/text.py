@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lectern.functions.arrays import let, running_ends
 
 Tokenizer = Callable[[Column], Column]
+# A text to ``array<struct<token:string,s:int,e:int>>``: tokens with half-open character offsets.
+SpanTokenizer = Callable[[Column], Column]
 
 # The characters Unicode counts as white space, as a Java regex class body.
 WHITESPACE = (
@@ -82,18 +84,44 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     return let(tokens, lambda t: F.concat(*[grams(t, n) for n in range(low, high + 1)]))
 
 
-def token_spans(tokens: Column, gap: int = 1) -> Column:
-    """Half-open character offsets of tokens that lie ``gap`` characters apart."""
+def space_spans(text: Column) -> Column:
+    """Space tokens with their offsets."""
 
     def spans(t: Column) -> Column:
-        lengths = F.transform(t, lambda x: F.length(x) + gap)
+        ends = running_ends(F.transform(t, lambda x: F.length(x) + 1))
         return F.zip_with(
-            running_ends(lengths),
+            ends,
             t,
-            lambda end, x: F.struct((end - gap - F.length(x)).alias("s"), (end - gap).alias("e")),
+            lambda end, x: F.struct(x.alias("token"), (end - 1 - F.length(x)).alias("s"), (end - 1).alias("e")),
         )
 
-    return let(tokens, spans)
+    return let(space_tokens(text), spans)
+
+
+def pattern_spans(pattern: str) -> SpanTokenizer:
+    """A tokenizer that takes all matches of a pattern that never matches the empty text.
+
+    What lies between the matches gives their offsets, so nothing is assumed about it.
+    """
+
+    def tokenizer(text: Column) -> Column:
+        def spans(t: Column, between: Column) -> Column:
+            steps = F.zip_with(t, F.slice(between, 1, F.size(t)), lambda x, gap: F.length(gap) + F.length(x))
+            return F.zip_with(
+                running_ends(steps),
+                t,
+                lambda end, x: F.struct(x.alias("token"), (end - F.length(x)).alias("s"), end.alias("e")),
+            )
+
+        return let(
+            F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda t: let(F.split(text, pattern, -1), lambda between: spans(t, between))
+        )
+
+    return tokenizer
+
+
+#: Runs of letters and digits, and every other character that is no white space on its own.
+word_spans = pattern_spans(f"[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}{WHITESPACE}]")
 
 
 def token_ids(tokens: Column, vocab_size: int = 32000, reserved: int = 5) -> Column:

@@ -60,10 +60,19 @@ def hash_encoder(dim: int = 64) -> Encoder:
     return load
 
 
-def encode(df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding", batch_size: int = 256) -> DataFrame:
-    """Add one vector per text. The encoder is loaded once per Python worker and fed in batches."""
+def encode(
+    df: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding", batch_size: int = 256, max_tokens: int | None = None
+) -> DataFrame:
+    """Add one vector per text. The encoder is loaded once per Python worker and fed in batches.
+
+    ``max_tokens`` is the encoder's input length in space tokens, where it has one; questions
+    and passages may differ in it.
+    """
     run = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(out, run(F.col(text)))
+    own = F.col(text)
+    if max_tokens is not None:
+        own = F.array_join(F.slice(F.split(own, " "), 1, max_tokens), " ")
+    return df.withColumn(out, run(own))
 
 
 def dense_topk(

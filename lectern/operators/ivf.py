@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,8 +20,8 @@ from lectern.operators.dense import arrow_matrix, cell_topk, dense_topk, similar
 from lectern.operators.ranking import SCORE_DIGITS
 from lectern.session import materialized
 
-# The centroid table is held by every task, so its size is checked.
-MAX_CENTROIDS = 65536
+# Numbers of the centroid table that every task holds at a time.
+VALUES_AT_ONCE = 8_000_000
 
 
 def ivf_fit(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> DataFrame:
@@ -32,25 +33,54 @@ def ivf_fit(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_pro
     return vectors.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
 
 
-def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_product", vec: str = "embedding") -> DataFrame:
-    """Add the nearest ``cluster_id`` to every non-null vector; ties go to the smaller id. No shuffle."""
-    rows = centroids.select("cluster_id", as_double(F.col("centroid"))).limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    rows = sorted(rows, key=lambda r: r[0])
+def ivf_assign(vectors: DataFrame, centroids: DataFrame, metric: str = "inner_product", vec: str = "embedding", values_at_once: int = VALUES_AT_ONCE) -> DataFrame:
+    """Add the nearest ``cluster_id`` to every non-null vector; ties go to the smaller id. No shuffle.
+
+    Tasks hold at most ``values_at_once`` numbers of the centroid table. A larger table is dealt
+    into parts by hash of the id; each part is one more pass that keeps the better cell.
+    """
+    table = materialized(centroids.select("cluster_id", as_double(F.col("centroid")).alias("centroid")), "centroids")
+    size = table.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    parts = max(1, -(-size // values_at_once))
+    out = vectors
+    for part in range(parts):
+        own = table if parts == 1 else table.where(F.pmod(F.xxhash64("cluster_id"), F.lit(parts)) == part)
+        out = _nearest(out, own, metric, vec)
+        out = materialized(out, "assigned") if parts > 1 else out
+    return out.drop("_score")
+
+
+def _nearest(vectors: DataFrame, centroids: DataFrame, metric: str, vec: str) -> DataFrame:
+    """``cluster_id`` and ``_score`` of the best of these centroids and what a row has already."""
+    rows = sorted(centroids.collect(), key=lambda r: r[0])
     id_type = centroids.schema["cluster_id"].dataType
     ids = pa.array([r[0] for r in rows], to_arrow_type(id_type))
-    table = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=float))
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], dtype=float))
+    again = "_score" in vectors.columns
+    fields = [f for f in vectors.schema.fields if f.name not in ("cluster_id", "_score") or not again]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(vec).is_valid())
-            if batch.num_rows:
-                scores = np.round(similarity(arrow_matrix(batch.column(vec)), table.value, metric), SCORE_DIGITS)
-                nearest = scores.argmin(axis=1) if metric == "l2" else scores.argmax(axis=1)
-                yield batch.append_column("cluster_id", ids.take(pa.array(nearest)))
-
-    return vectors.mapInArrow(assign, T.StructType([*vectors.schema.fields, T.StructField("cluster_id", id_type)]))
+            if not batch.num_rows or (not len(ids) and not again):
+                continue
+            own = batch.select([f.name for f in fields])
+            if not len(ids):
+                yield own.append_column("cluster_id", batch.column("cluster_id")).append_column("_score", batch.column("_score"))
+                continue
+            scores = np.round(similarity(arrow_matrix(batch.column(vec)), shared.value, metric), SCORE_DIGITS)
+            scores = -scores if metric == "l2" else scores
+            nearest = scores.argmax(axis=1)
+            best, cell = scores[np.arange(len(scores)), nearest], ids.take(pa.array(nearest))
+            if again:
+                old, had = batch.column("_score").to_numpy(), batch.column("cluster_id")
+                smaller = pc.less(had, cell).to_numpy(zero_copy_only=False)
+                keep = (old > best) | ((old == best) & smaller)
+                cell, best = pc.if_else(pa.array(keep), had, cell), np.where(keep, old, best)
+            yield own.append_column("cluster_id", cell).append_column("_score", pa.array(best))
+
+    schema = T.StructType([*fields, T.StructField("cluster_id", id_type), T.StructField("_score", T.DoubleType())])
+    return vectors.mapInArrow(assign, schema)
 
 
 def ivf_build(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -67,10 +97,11 @@ def ivf_topk(
     """Top ``k`` within the ``nprobe`` nearest cells; ``l2`` scores are squared distances."""
     as_passages = centroids.select(F.col("cluster_id").alias("doc_id"), F.col("centroid").alias(vec))
     q = questions.select("qid", F.col(vec).alias("v"))
-    probes = (
+    probes = materialized(
         probe_cells(questions, as_passages, nprobe, metric, vec)
         .join(q, "qid")
-        .select("qid", "v", F.col("doc_id").alias("cell"))
+        .select("qid", "v", F.col("doc_id").alias("cell")),
+        "probes",
     )
     p = cells.select("doc_id", F.col(vec).alias("v"), F.col("cluster_id").alias("cell"))
     return cell_topk(probes, p, k, metric)

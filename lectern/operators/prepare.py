@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.arrays import let, rows_of
-from lectern.functions.text import Tokenizer, compact_key, hash32, is_blank, space_tokens, token_ids, token_spans
+from lectern.functions.text import SpanTokenizer, Tokenizer, compact_key, hash32, is_blank, space_spans, space_tokens, token_ids
 from lectern.operators.ranking import with_hashed_position, with_position
 from lectern.operators.sparse import Bm25Index, bm25_top_n
+from lectern.session import materialized
 
 # Label of tokens that are not predicted, filler for missing negatives.
 IGNORED_LABEL = -100
@@ -20,9 +21,11 @@ def hard_negatives(
 ) -> DataFrame:
     """Best-scored passages for each gold passage ``(id, context)``, the gold passage itself left out.
 
-    Returns ``passage_top1 .. passage_top<keep>``, filled with ``"None"``.
+    Returns ``passage_top1 .. passage_top<keep>``, filled with ``"None"``. Examples that share a
+    passage share its search.
     """
-    queries = examples.select(F.col("id").alias("qid"), F.col("context").alias("question"))
+    passages = examples.groupBy("context").agg(F.min("id").alias("qid"))
+    queries = materialized(passages.select("qid", F.col("context").alias("question")), "passages")
     hits = bm25_top_n(queries, index, corpus, k, tokenizer=tokenizer)
     other = hits.join(queries, "qid").where(compact_key(F.col("text")) != compact_key(F.col("question")))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
@@ -30,46 +33,54 @@ def hard_negatives(
     columns = [F.max(F.when(F.col("place") == i, F.col("text"))).alias(f"passage_top{i}") for i in range(1, keep + 1)]
     wide = kept.groupBy("qid").agg(*columns)
     filled = [F.coalesce(f"passage_top{i}", F.lit(NO_PASSAGE)).alias(f"passage_top{i}") for i in range(1, keep + 1)]
-    return queries.select("qid").join(wide, "qid", "left").select(F.col("qid").alias("id"), *filled)
+    same = examples.select("id", F.col("context").alias("question")).join(queries, "question").select("id", "qid")
+    return same.join(wide, "qid", "left").select("id", *filled)
+
+
+def _room(max_length: int, specials: int, tokenizer: SpanTokenizer) -> Column:
+    """Context tokens that fit beside the question."""
+    return F.lit(max_length - specials) - F.size(tokenizer(F.col("question")))
+
+
+def too_long(
+    examples: DataFrame, max_length: int = 384, stride: int = 128, specials: int = 3, tokenizer: SpanTokenizer = space_spans
+) -> DataFrame:
+    """Examples whose question leaves no room for a window; ``chunk_windows`` leaves them out."""
+    return examples.where(_room(max_length, specials, tokenizer) <= stride)
 
 
 def chunk_windows(
-    examples: DataFrame, max_length: int = 384, stride: int = 128, specials: int = 3, tokenizer: Tokenizer = space_tokens, gap: int = 1
+    examples: DataFrame, max_length: int = 384, stride: int = 128, specials: int = 3, tokenizer: SpanTokenizer = space_spans
 ) -> DataFrame:
     """Overlapping context windows that fit the question and the special tokens.
 
     ``examples(id, question, context[, answers])`` becomes one row per window with the
-    context tokens and their character offsets; neighbouring windows share ``stride``
-    tokens and the question is never cut. Windows are sliced before they become rows,
-    so a long text is not copied once per window.
+    context tokens and their character offsets, as the tokenizer gives them; neighbouring
+    windows share ``stride`` tokens and the question is never cut (see ``too_long``).
+    Windows are sliced before they become rows, so a long text is not copied once per window.
     """
-    n_question = F.size(tokenizer(F.col("question")))
-    capacity = F.lit(max_length - specials) - n_question
-    fits = F.when(capacity > stride, capacity).otherwise(
-        F.raise_error(F.concat(F.lit("question leaves no room for a window: "), F.col("id").cast("string"))).cast("int")
-    )
 
-    def windows(tokens: Column, room: Column) -> Column:
+    def windows(spans: Column, room: Column) -> Column:
         step = room - stride
-        last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - room) / step).cast("int"))
-
-        def cut(spans: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), last),
-                lambda c: F.struct(
-                    c.cast("long").alias("chunk"),
-                    (c * step).cast("long").alias("token_start"),
-                    F.slice(tokens, c * step + 1, room).alias("tokens"),
-                    F.slice(spans, c * step + 1, room).alias("offsets"),
-                ),
+        last = F.greatest(F.lit(0), F.ceil((F.size(spans) - room) / step).cast("int"))
+
+        def cut(c: Column) -> Column:
+            own = F.slice(spans, c * step + 1, room)
+            return F.struct(
+                c.cast("long").alias("chunk"),
+                (c * step).cast("long").alias("token_start"),
+                F.transform(own, lambda x: x["token"]).alias("tokens"),
+                F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("offsets"),
             )
 
-        return let(token_spans(tokens, gap), cut)
+        return F.transform(F.sequence(F.lit(0), last), cut)
 
-    cut_up = let(tokenizer(F.col("context")), lambda t: let(fits, lambda room: windows(t, room)))
+    room = _room(max_length, specials, tokenizer)
+    cut_up = let(tokenizer(F.col("context")), lambda t: let(room, lambda r: windows(t, r)))
     kept = ["id"] + (["answers"] if "answers" in examples.columns else [])
-    context_start = (n_question + specials - 1).cast("long").alias("context_start")
-    return rows_of(examples, [*kept, context_start], cut_up, "w").select(*kept, "context_start", "w.*")
+    context_start = (F.lit(max_length - 1) - room).cast("long").alias("context_start")
+    fitting = examples.where(room > stride)
+    return rows_of(fitting, [*kept, context_start], cut_up, "w").select(*kept, "context_start", "w.*")
 
 
 def align_answer(chunks: DataFrame) -> DataFrame:

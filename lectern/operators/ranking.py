@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import materialized
+
 SCORE_DIGITS = 6
 
 
@@ -33,16 +35,17 @@ def top_k(
 
 
 def with_position(df: DataFrame, key: str, buckets: int | None = None, out: str = "position") -> DataFrame:
-    """0-based position of every row in the order of a unique numeric ``key``.
+    """0-based position of every row in the order of a unique ``key`` of any orderable type.
 
-    The key range is cut at approximate quantiles, each bucket is numbered on its own
-    and shifted by the sizes of the buckets before. Only the cut points reach the driver.
+    Only the keys are sorted and numbered: each range on its own, shifted by the sizes of the
+    ranges before. They are written once and joined back if there are other columns.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(key, steps, 0.25 / buckets))) if steps else []
-    bucket = _bucket_of(F.col(key), cuts)
-    return _number(df.withColumn("_bucket", bucket), [key], out)
+    ordered = df.select(key).repartitionByRange(buckets, key).sortWithinPartitions(key)
+    rows = materialized(ordered.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    rows = rows.select(key, F.shiftright("_at", 33).cast("int").alias("_bucket"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row"))
+    placed = rows.join(F.broadcast(_offsets(rows)), "_bucket").select(key, (F.col("_offset") + F.col("_row")).alias(out))
+    return placed if df.columns == [key] else df.join(placed, key)
 
 
 def with_hashed_position(df: DataFrame, hash_col: Column, key: str, buckets: int | None = None, out: str = "position") -> DataFrame:
@@ -53,18 +56,15 @@ def with_hashed_position(df: DataFrame, hash_col: Column, key: str, buckets: int
     return _number(hashed.withColumn("_bucket", bucket), ["_hash", key], out).drop("_hash")
 
 
-def _bucket_of(key: Column, cuts: list[float]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    bounds = F.lit([float(c) for c in cuts])
-    return F.size(F.filter(bounds, lambda b: b <= key))
-
-
-def _number(df: DataFrame, order: list[str], out: str) -> DataFrame:
+def _offsets(df: DataFrame) -> DataFrame:
+    """Rows before each bucket."""
     sizes = df.groupBy("_bucket").agg(F.count("*").alias("_size"))
     # One row per bucket, so this unpartitioned window stays tiny.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+
+
+def _number(df: DataFrame, order: list[str], out: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    numbered = df.withColumn("_row", within).join(F.broadcast(offsets), "_bucket")
+    numbered = df.withColumn("_row", within).join(F.broadcast(_offsets(df)), "_bucket")
     return numbered.withColumn(out, F.col("_offset") + F.col("_row") - 1).drop("_bucket", "_offset", "_row")

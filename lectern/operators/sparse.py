@@ -1,15 +1,18 @@
-"""Inverted-index scoring: BM25 and the shared sparse top-k.
+"""Sparse scoring: BM25 and the shared sparse top-k.
 
-Term counts come from each row's own token array, so building postings needs no
-shuffle; only document frequencies do, and they are pre-aggregated per task.
+Term counts come from each row's own token array, so building them needs no shuffle; only
+document frequencies do, and they are pre-aggregated per task. A document's terms stay in
+its row: questions go to the documents, and each task returns ``k`` hits per question.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,10 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# A question side up to this many (question, term) rows is broadcast.
-BROADCAST_TERMS = 1_000_000
-# Hits up to this many are broadcast when their texts are fetched.
-BROADCAST_HITS = 1_000_000
-POSTINGS_PER_BLOCK = 1_000_000
+# Question terms that tasks hold at a time; more questions are scored in several passes.
+TERMS_PER_PASS = 1_000_000
+# Scores held at a time by one task.
+SCORES_AT_ONCE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -86,8 +88,10 @@ def bm25_from_counts(docs: DataFrame, frequency: DataFrame) -> Bm25Index:
 
 
 def bm25_doc_weights(index: Bm25Index) -> DataFrame:
-    """Saturated, length-normalised term weights ``(doc_id, term, dw)``, without idf."""
-    return saturated(postings(index.docs), index)
+    """Hashed terms of each document with saturated, length-normalised weights, without idf: ``(doc_id, keys, weights)``."""
+    normed = index.docs.withColumn("norm", K1 * (1 - B + B * F.col("dl") / index.stats.select("avgdl").scalar()))
+    weights = F.transform("counts", lambda c: c["tf"] * (K1 + 1) / (c["tf"] + F.col("norm")))
+    return normed.select("doc_id", F.transform("counts", lambda c: F.xxhash64(c["term"])).alias("keys"), weights.alias("weights"))
 
 
 def saturated(rows: DataFrame, index: Bm25Index) -> DataFrame:
@@ -112,112 +116,127 @@ def bm25_topk(
     tokenizer: Tokenizer = space_tokens,
     qid: str = "qid",
     text: str = "question",
-    blocked: bool | None = None,
+    terms_per_pass: int = TERMS_PER_PASS,
 ) -> DataFrame:
     """Best ``k`` documents per question, ``(qid, rank, doc_id, score)``."""
     weights = bm25_question_weights(questions, index, tokenizer, qid, text)
-    if blocked is None:
-        blocked = many_terms(questions, tokenizer(F.col(text)))
-    rows = index.stats.select("n_postings").scalar()
-    return sparse_topk(weights, bm25_doc_weights(index), k, blocked, rows)
+    keyed = weights.select("qid", F.xxhash64("term").alias("key"), "qw")
+    return sparse_topk(keyed, bm25_doc_weights(index), k, terms_per_pass)
 
 
 def bm25_search(spark: SparkSession, question: str, index: Bm25Index, k: int = 10, tokenizer: Tokenizer = space_tokens) -> DataFrame:
     """One question given as text."""
     one = spark.createDataFrame([(0, question)], "qid long, question string")
-    return bm25_topk(one, index, k, tokenizer, blocked=False)
+    return bm25_topk(one, index, k, tokenizer)
 
 
 def bm25_top_n(questions: DataFrame, index: Bm25Index, corpus: DataFrame, n: int = 5, **options) -> DataFrame:
     """Hits with their passage texts."""
-    return with_texts(bm25_topk(questions, index, n, **options), corpus, hit_bound(questions, n))
+    return with_texts(bm25_topk(questions, index, n, **options), corpus)
 
 
-def many_terms(questions: DataFrame, tokens: Column) -> bool:
-    """Is the question side too large to broadcast? Reads only the question texts."""
-    return (questions.agg(F.sum(F.size(tokens))).first()[0] or 0) > BROADCAST_TERMS
+def with_texts(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Join hits with their texts."""
+    return corpus.select("doc_id", "text").join(hits, "doc_id")
 
 
-def hit_bound(questions: DataFrame, k: int) -> int:
-    """The most hits these questions can have."""
-    return questions.count() * k
-
-
-def with_texts(hits: DataFrame, corpus: DataFrame, bound: int | None = None) -> DataFrame:
-    """Join hits with their texts. Hits known to be few are broadcast, so the corpus is not shuffled."""
-    few = bound is not None and bound <= BROADCAST_HITS
-    return corpus.select("doc_id", "text").join(F.broadcast(hits) if few else hits, "doc_id")
+def posting_topk(questions: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """Top ``k`` of one question's terms ``(qid, term, qw)`` over the postings ``(doc_id, term, dw)`` of these terms."""
+    hits = postings.join(F.broadcast(questions), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
+    return top_k(hits, "qid", k).select("qid", "rank", "doc_id", "score")
 
 
-def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, blocked: bool = False, doc_rows: Column | None = None) -> DataFrame:
-    """Top ``k`` by sparse dot product of ``(qid, term, qw)`` and ``(doc_id, term, dw)``.
+def sparse_topk(questions: DataFrame, docs: DataFrame, k: int, terms_per_pass: int = TERMS_PER_PASS) -> DataFrame:
+    """Top ``k`` by sparse dot product of ``(qid, key, qw)`` and documents ``(doc_id, keys, weights)``.
 
-    With few questions their terms are broadcast: postings are filtered while they are
-    scanned, scores are summed per task and only ``(question, document)`` sums are
-    shuffled. Otherwise see ``_blocked_hits``. Documents without a common term are
-    not returned. ``doc_rows`` is the number of rows of ``docs``, if known.
+    Documents are scored where they are: a task gets the questions' terms as arrays and
+    returns ``k`` rows per question. Questions beyond ``terms_per_pass`` terms are dealt by
+    hash into several passes over the documents. Documents without a common term are not
+    returned. Scores are compared after rounding, ties go to the smaller id.
     """
-    if blocked:
-        hits = _blocked_hits(questions, docs, k, doc_rows)
+    asked = questions.select("qid", "key", "qw")
+    first = asked.limit(terms_per_pass + 1).toPandas()
+    if len(first) <= terms_per_pass:
+        parts = [first]
     else:
-        hits = (
-            docs.join(F.broadcast(questions), "term")
-            .groupBy("qid", "doc_id")
-            .agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
-        )
+        asked = materialized(asked, "questions")
+        passes = -(-asked.count() // terms_per_pass)
+        parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).toPandas() for i in range(passes)]
+    hits = None
+    for part in parts:
+        found = _scan(part, questions, docs, k)
+        hits = found if hits is None else hits.union(found)
     return top_k(hits, "qid", k).select("qid", "rank", "doc_id", "score")
 
 
-def _blocked_hits(questions: DataFrame, docs: DataFrame, k: int, doc_rows: Column | None) -> DataFrame:
-    """Score question blocks against document blocks, each pair of blocks in its own task.
-
-    Joining on the term would shuffle every (question, document) pair a common word
-    makes. Here each block goes once to every block of the other side, and a cell
-    returns at most ``k`` documents per question. Blocks are cut by id hash, so a
-    common word is spread over all of them.
-    """
-    count = F.count("*")
-    q_blocks = _blocks(questions.agg(count).scalar())
-    d_blocks = _blocks(docs.agg(count).scalar() if doc_rows is None else doc_rows)
-    q = questions.select(
-        F.pmod(F.xxhash64("qid"), q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), d_blocks - 1)).alias("db"), "qid", "term", "qw"
+class Questions:
+    """The terms of some questions, sorted by term: for each key the questions that ask for it."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("key", kind="stable")
+        number, self.ids = pd.factorize(rows["qid"])
+        self.number, self.weights = number.astype(np.int64), rows["qw"].to_numpy(float)
+        self.keys, starts = np.unique(rows["key"].to_numpy(np.int64), return_index=True)
+        self.starts = np.append(starts, len(rows))
+
+    def scores(self, keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``questions x n`` scores of documents given by their terms, and where a term was shared."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        at, weights, owner = at[hit], weights[hit], owner[hit]
+        counts = self.starts[at + 1] - self.starts[at]
+        row = np.repeat(np.arange(len(at)), counts)
+        term = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + self.starts[at][row]
+        cell = self.number[term] * n + owner[row]
+        shape = (len(self.ids), n)
+        sums = np.bincount(cell, self.weights[term] * weights[row], shape[0] * n).reshape(shape)
+        return sums, np.bincount(cell, minlength=shape[0] * n).reshape(shape) > 0
+
+
+def _scan(asked: pd.DataFrame, questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    types = {name: df.schema[name].dataType.simpleString() for name, df in (("qid", questions), ("doc_id", docs))}
+    shared = docs.sparkSession.sparkContext.broadcast(Questions(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, best = shared.value, None
+        if not len(own.ids):
+            return
+        step = max(1, SCORES_AT_ONCE // len(own.ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                found = best_documents(own, batch.slice(at, step), k)
+                best = found if best is None else _best(pd.concat([best, found]), k)
+        if best is not None:
+            out = pd.DataFrame({"qid": own.ids[best["q"]], "doc_id": best["doc_id"], "score": best["score"]})
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    schema = f"qid {types['qid']}, doc_id {types['doc_id']}, score double"
+    return docs.select("doc_id", "keys", "weights").mapInArrow(run, schema)
+
+
+def best_documents(questions: Questions, docs: pa.RecordBatch, k: int) -> pd.DataFrame:
+    """At most ``k`` of these documents per question: ``q`` (number of the question), ``doc_id``, ``score``."""
+    ids = docs.column("doc_id").to_pandas()
+    order = np.argsort(ids.to_numpy(), kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    lists = docs.column("keys")
+    owner = np.repeat(place, lists.value_lengths().fill_null(0).to_numpy())
+    scores, shared = questions.scores(
+        lists.flatten().to_numpy().astype(np.int64), docs.column("weights").flatten().to_numpy().astype(float), owner, len(ids)
     )
-    d = docs.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1)).alias("qb"), F.pmod(F.xxhash64("doc_id"), d_blocks).alias("db"), "doc_id", "term", "dw"
-    )
-    id_types = {f.name: f.dataType.simpleString() for f in (*q.schema, *d.schema)}
-    schema = f"qid {id_types['qid']}, doc_id {id_types['doc_id']}, score double"
-
-    def score(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        return score_sparse_cell(qs, ds, k)
-
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(score, schema)
-
-
-def _blocks(rows: Column) -> Column:
-    return F.greatest(F.ceil(rows / POSTINGS_PER_BLOCK), F.lit(1)).cast("long")
-
-
-def score_sparse_cell(qs: pd.DataFrame, ds: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` documents of one document block for each question of one question block."""
-    term_code = pd.Index(qs["term"].unique())
-    ds = ds.assign(code=term_code.get_indexer(ds["term"]))
-    ds = ds[ds["code"] >= 0].sort_values("code", kind="stable")
-    doc_ids = np.sort(ds["doc_id"].unique())
-    where = np.searchsorted(doc_ids, ds["doc_id"].to_numpy())
-    weight = ds["dw"].to_numpy()
-    edges = np.searchsorted(ds["code"].to_numpy(), np.arange(len(term_code) + 1))
-    out = []
-    for qid, terms in qs.groupby("qid", sort=False):
-        scores = np.zeros(len(doc_ids))
-        seen = np.zeros(len(doc_ids), dtype=bool)
-        for code, qw in zip(term_code.get_indexer(terms["term"]), terms["qw"]):
-            span = slice(edges[code], edges[code + 1])
-            # A document has one row per term, so plain indexed addition is safe.
-            scores[where[span]] += qw * weight[span]
-            seen[where[span]] = True
-        found = np.flatnonzero(seen)
-        best = found[np.argsort(-np.round(scores[found], 6), kind="stable")[:k]]
-        out.append(pd.DataFrame({"qid": qid, "doc_id": doc_ids[best], "score": scores[best]}))
-    columns = ["qid", "doc_id", "score"]
-    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+    # one whole number per cell: the rounded score, then the smaller id
+    key = np.where(shared, np.rint(scores * 1e6) * 2.0**20 - np.arange(len(ids)), -np.inf)
+    if len(ids) > k:
+        columns = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    else:
+        columns = np.broadcast_to(np.arange(len(ids)), key.shape)
+    rows = np.broadcast_to(np.arange(len(key))[:, None], columns.shape)
+    kept = shared[rows, columns]
+    rows, columns = rows[kept], columns[kept]
+    return pd.DataFrame({"q": rows, "doc_id": ids.to_numpy()[order][columns], "score": scores[rows, columns]})
+
+
+def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    ranked = hits.assign(key=-hits["score"].round(6)).sort_values(["q", "key", "doc_id"])
+    return ranked.groupby("q", sort=False).head(k).drop(columns="key")

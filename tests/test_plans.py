@@ -33,6 +33,30 @@ def test_a_stored_question_reads_its_folders_only(spark, tmp_path):
     assert "PartitionFilters: [bucket" in text and "In(term" in text
 
 
+def test_a_stored_vector_question_reads_its_cells_only(spark, tmp_path):
+    vectors = entry._vectors(spark, SF, "doc_id").drop("label")
+    centroids, cells = stored.ivf_store(spark, str(tmp_path), vectors, 8)
+    asked = [float(x) for x in vectors.first()["embedding"]]
+    found = stored.ivf_search_stored(spark, asked, centroids, cells, 5, 2)
+    assert "PartitionFilters: [cluster_id" in plan(found) and found.count() == 5
+
+
+def test_another_tokenizer_is_another_index(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (3, "x y z")], "doc_id long, text string")
+    upper = lambda text: entry.F.split(entry.F.upper(text), " ")
+    plain = stored.bm25_store(spark, str(tmp_path), corpus, buckets=2)
+    with pytest.raises(ValueError):
+        stored.bm25_store(spark, str(tmp_path), corpus, buckets=2, tokenizer=upper)
+    loud = stored.bm25_store(spark, str(tmp_path), corpus, buckets=2, tokenizer=upper, tokenizer_name="upper")
+    assert {r.term for r in plain.terms.collect()} == {r.term.lower() for r in loud.terms.collect()} != {r.term for r in loud.terms.collect()}
+
+
+def test_documents_are_scored_in_place(spark):
+    for name in ("bm25_topk", "tfidf_topk"):
+        text = plan(entry.queries()[name](spark, SF))
+        assert "MapInArrow" in text and "hashpartitioning(qid" in text and "doc_id#" not in text.split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_scans_read_the_needed_columns(spark):
     text = plan(entry.token_counts(spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text

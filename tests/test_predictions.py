@@ -163,9 +163,9 @@ def test_text_files(spark, tmp_path):
 
 
 def test_csv_rows(spark, tmp_path):
-    df = answers(spark, TRICKY).where("id <> '3'")
-    path = writers.write_csv(df, str(tmp_path / "out"))
-    assert {r.id: r.text for r in readers.read_rows(spark, path, "id string, text string").collect()} == {k: v for k, v in TRICKY.items() if v}
+    rows = {**TRICKY, "e": "", "s": " lead and trail ", "n": None, "m": "\\N ", "q": '"', "c": "a,b\nc"}
+    path = writers.write_csv(answers(spark, rows), str(tmp_path / "out"))
+    assert {r.id: r.text for r in readers.read_rows(spark, path, "id string, text string").collect()} == rows
 
 
 def test_cleaned_and_null_odds(spark, tmp_path):

@@ -6,6 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import pattern_spans
 from lectern.operators import corpus as co
 from lectern.operators import prepare, spans
 from lectern.plans import reading
@@ -47,9 +48,25 @@ def test_windows_cover_every_token_and_share_the_stride(examples):
             assert [text[o.s : o.e] for o in c.offsets] == c.tokens
 
 
-def test_a_question_that_fills_the_window_is_an_error(examples):
-    with pytest.raises(Exception, match="no room"):
-        prepare.chunk_windows(examples, max_length=9, stride=4).collect()
+def test_a_question_that_fills_the_window_is_set_apart(spark):
+    rows = [(1, "q q", "a b c"), (2, "q " * 20, "a b c")]
+    df = spark.createDataFrame(rows, "id long, question string, context string")
+    assert [r.id for r in prepare.too_long(df, max_length=15, stride=4).collect()] == [2]
+    assert {r.id for r in prepare.chunk_windows(df, max_length=15, stride=4).collect()} == {1}
+
+
+def test_answers_with_a_tokenizer_that_drops_characters(spark):
+    context = "ab  cd, ef"
+    df = spark.createDataFrame([(1, "q", context, ([8], ["ef"]))], f"id long, question string, context string, {ANSWERS}")
+    (row,) = prepare.align_answer(prepare.chunk_windows(df, tokenizer=pattern_spans("[^ ,]+"))).collect()
+    assert row.tokens == ["ab", "cd", "ef"] and row.start_position == row.end_position == row.context_start + 2
+
+
+def test_slices_of_string_keys(spark):
+    names = [f"k{i:03d}" for i in range(100)]
+    df = spark.createDataFrame([(n,) for n in names[::-1]], "id string")
+    first = co.percent_slice(df, "id", 10).where("split = 'validation'").orderBy("id").collect()
+    assert [r.id for r in first] == names[:10]
 
 
 def test_answer_positions(examples):

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lectern.operators.contain import containing
 from lectern.operators import dense, fusion, ivf, metrics, ranking, sparse, tfidf
 from lectern.operators.prepare import hard_negatives
 from lectern.plans import retrieval
@@ -61,10 +62,10 @@ def hits_of(df):
     return out
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_bm25(spark, texts, corpus, questions, blocked, monkeypatch):
-    monkeypatch.setattr(sparse, "POSTINGS_PER_BLOCK", 100)
-    got = hits_of(sparse.bm25_topk(questions, sparse.bm25_index(corpus), 7, blocked=blocked))
+@pytest.mark.parametrize("terms_per_pass", [1_000_000, 5])
+def test_bm25(spark, texts, corpus, questions, terms_per_pass, monkeypatch):
+    monkeypatch.setattr(sparse, "SCORES_AT_ONCE", 40)
+    got = hits_of(sparse.bm25_topk(questions, sparse.bm25_index(corpus), 7, terms_per_pass=terms_per_pass))
     want = {q: best(bm25_scores(texts, t), 7) for q, t in QUESTIONS}
     assert 2 not in got and got == {q: h for q, h in want.items() if h}
 
@@ -116,12 +117,12 @@ def tfidf_vectors(texts, max_features):
     return idf, vector
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_tfidf(spark, texts, corpus, questions, blocked):
+@pytest.mark.parametrize("terms_per_pass", [1_000_000, 5])
+def test_tfidf(spark, texts, corpus, questions, terms_per_pass):
     model = tfidf.tfidf_fit(corpus, 30)
     idf, vector = tfidf_vectors(texts, 30)
     assert {t: round(w, 9) for t, w in zip(model.terms, model.idf)} == {t: round(w, 9) for t, w in idf.items()}
-    got = hits_of(tfidf.tfidf_topk(questions, corpus, model, 6, blocked=blocked))
+    got = hits_of(tfidf.tfidf_topk(questions, corpus, model, 6, terms_per_pass=terms_per_pass))
     docs = {i: vector(t) for i, t in texts.items()}
     for q, t in QUESTIONS:
         v = vector(t)
@@ -138,7 +139,8 @@ def test_lsa_matches_a_plain_svd(spark, texts, corpus, questions):
     lsa = tfidf.lsa_fit(corpus, model, 5)
     assert np.allclose(lsa.singular_values, s[:5])
     project = vt[:5].T
-    got = hits_of(tfidf.lsa_topk(questions.where("qid <> 2"), corpus, lsa, 5))
+    got = hits_of(tfidf.lsa_topk(questions, corpus, lsa, 5))
+    assert 2 not in got  # it has no vocabulary term
     for q, t in QUESTIONS:
         if q != 2:
             v = np.array([vector(t).get(g, 0.0) for g in model.terms]) @ project
@@ -302,3 +304,45 @@ def test_positions_are_row_numbers(spark):
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
     got = {r.id: r.position for r in ranking.with_position(df, "id", 7).collect()}
     assert got == {i: n for n, i in enumerate(sorted(ids))}
+    names = [f"n{i}" for i in ids]
+    df = spark.createDataFrame([(i,) for i in names], "id string").repartition(3)
+    got = {r.id: r.position for r in ranking.with_position(df, "id", 7).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(names))}
+
+
+@pytest.mark.parametrize("phrases_per_pass", [100, 2])
+def test_containing_has_no_word_rule(spark, phrases_per_pass):
+    passages = [(1, "one two three four fives"), (2, "x four five"), (3, None), (4, "")]
+    phrases = [(1, "one two three four five"), (2, "four five"), (3, "e"), (4, ""), (5, None), (6, "four five")]
+    got = containing(
+        spark.createDataFrame(phrases, "qid long, question string"), spark.createDataFrame(passages, "doc_id long, text string"), phrases_per_pass
+    )
+    want = {(q, d) for q, p in phrases for d, t in passages if p is not None and t is not None and p in t}
+    assert sorted((r.qid, r.doc_id) for r in got.collect()) == sorted(want)
+
+
+def test_vocabulary_edge_is_exact(spark):
+    texts = ["a a a b b c", "b c d", "e d c", "f g h i"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(g for t in texts for w in [t.split(" ")] for g in w + [f"{x} {y}" for x, y in zip(w, w[1:])])
+    for n in (1, 3, 4, 7, 100):
+        want = sorted(counts, key=lambda g: (-counts[g], g))[:n]
+        assert {r.term for r in tfidf.tfidf_vocab(corpus, n).collect()} == set(want)
+
+
+def test_assignment_has_no_centroid_cap(spark, points, vectors):
+    centroids = ivf.ivf_fit(vectors, 9, "l2")
+    whole = {r.doc_id: r.cluster_id for r in ivf.ivf_assign(vectors, centroids, "l2").collect()}
+    parts = {r.doc_id: r.cluster_id for r in ivf.ivf_assign(vectors, centroids, "l2", values_at_once=20).collect()}
+    assert whole == parts and len(whole) > 0
+
+
+def test_stored_lsa_and_clusters_over_it(spark, tmp_path, corpus, questions):
+    model, rows = stored.tfidf_store(spark, str(tmp_path), corpus, 40)
+    lsa, projected = stored.lsa_store(spark, str(tmp_path), corpus, model, 4)
+    cells = stored.ivf_store(spark, str(tmp_path), projected, 3, encoder_name="lsa4")
+    options = retrieval.Options(k=3, tfidf=model, tfidf_rows=rows, lsa=lsa, lsa_vectors=projected, ivf=cells, ivf_over="lsa", nprobe=3)
+    fresh = hits_of(tfidf.lsa_topk(questions, corpus, lsa, 3))
+    assert hits_of(retrieval.find(questions, corpus, "lsa", options)) == fresh
+    assert set(hits_of(retrieval.find(questions, corpus, "ivf", options))) == set(fresh)
+    assert hits_of(retrieval.find(questions, corpus, "tfidf", options)) == hits_of(tfidf.tfidf_topk(questions, corpus, model, 3))
