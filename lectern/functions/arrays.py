@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 64
+LEVELS = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,26 +35,30 @@ def rows_of(df: DataFrame, keep: list[str], values: Column, name: str = "item")
 def running_ends(lengths: Column) -> Column:
     """Running sum of an INT array, as an array of the same size.
 
-    Sums are built per chunk and then shifted by the totals of the chunks before,
-    so the cost stays linear for very long arrays.
+    Sums are built per chunk and shifted by the totals of the chunks before, which are
+    running sums again: with two levels of chunks the cost stays linear for very long arrays.
     """
+    sums = let(lengths, lambda v: _ends(v, LEVELS))
+    return F.when(F.size(lengths) > 0, sums).otherwise(_no_ints())
 
-    def chunked(values: Column) -> Column:
-        last_chunk = F.floor((F.size(values) - 1) / CHUNK).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), last_chunk),
-            lambda c: F.aggregate(F.slice(values, c * CHUNK + 1, CHUNK), _no_ints(), _append_sum),
-        )
 
-    def shifted(chunks: Column) -> Column:
-        totals = F.aggregate(F.transform(chunks, F.array_max), F.array(F.lit(0)), _append_sum)
+def _ends(values: Column, levels: int) -> Column:
+    if levels == 0:
+        return F.aggregate(values, _no_ints(), _append_sum)
+    last_chunk = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    chunks = F.transform(
+        F.sequence(F.lit(0), last_chunk),
+        lambda c: F.aggregate(F.slice(values, c * CHUNK + 1, CHUNK), _no_ints(), _append_sum),
+    )
+
+    def shifted(own: Column) -> Column:
+        totals = F.transform(own, lambda chunk: F.element_at(chunk, -1))
         return let(
-            totals,
-            lambda t: F.flatten(F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda x: x + t[c]))),
+            let(totals, lambda t: _ends(t, levels - 1)),
+            lambda ends: F.flatten(F.transform(own, lambda chunk, c: F.transform(chunk, lambda x: x + F.coalesce(F.get(ends, c - 1), F.lit(0))))),
         )
 
-    sums = let(lengths, lambda v: let(chunked(v), shifted))
-    return F.when(F.size(lengths) > 0, sums).otherwise(_no_ints())
+    return let(chunks, shifted)
 
 
 def _no_ints() -> Column:

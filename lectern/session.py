@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_handed_out: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
@@ -26,8 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_scratch`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete everything that this session wrote below the shared folder; returns the number of paths.
+
+    For when results have been consumed or stored: a frame read from such a path is gone with it.
+    """
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    paths = _handed_out.pop(context.applicationId, [])
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from itertools import accumulate
 import re
 import string
 from collections import Counter
@@ -77,10 +78,10 @@ def test_pattern_spans_assume_nothing_between_tokens(spark):
         assert [value[s.s : s.e] for s in spans] == [s.token for s in spans] == [t for t in value.replace(",", " ").split(" ") if t]
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 4096, 4097, 9000])
 def test_running_ends(spark, n):
     values = list(range(n))
-    want = [sum(values[: i + 1]) for i in range(n)]
+    want = list(accumulate(values))
     assert evaluate(column(spark, [values], "array<int>"), arrays.running_ends(F.col("v"))) == [want]
 
 
@@ -104,3 +105,15 @@ def test_vectors(spark):
     assert evaluate(df, dot(F.col("v"), F.col("w"))) == [3.0, 0.0]
     assert evaluate(df, squared_l2(F.col("v"), F.col("w"))) == [20.0, 5.0]
     assert evaluate(df, l2_normalize(F.col("v"))) == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_scratch_goes_when_it_is_cleared(spark):
+    from pathlib import Path
+
+    from lectern.session import clear_scratch, materialized
+
+    clear_scratch(spark)
+    df = materialized(spark.range(5), "few")
+    path = Path(df.inputFiles()[0].replace("file:", "")).parent
+    assert df.count() == 5 and path.exists()
+    assert clear_scratch(spark) == 1 and not path.exists()
