@@ -39,19 +39,36 @@ def clear_scratch(spark: SparkSession) -> int:
 
     For when results have been consumed or stored: a frame read from such a path is gone with it.
     """
+    return _delete(spark, 0)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """A mark for ``materialized(..., since=mark)``."""
+    return len(_handed_out.setdefault(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, since: int, last: int | None = None) -> int:
+    """Delete the paths handed out from number ``since`` on, up to ``last``."""
     jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    paths = _handed_out.pop(context.applicationId, [])
-    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+    paths = _handed_out.get(context.applicationId, [])
+    gone = paths[since:last]
+    paths[since:last] = []
+    for path in map(jvm.org.apache.hadoop.fs.Path, gone):
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+    return len(gone)
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
+def materialized(df: DataFrame, label: str, since: int | None = None) -> DataFrame:
     """Write the rows to the shared folder once and read them back.
 
     For results that several branches of a plan need: they are not computed again, they
-    survive lost executors, and every reader gets only the columns it asks for.
+    survive lost executors, and every reader gets only the columns it asks for. With
+    ``since``, what was written after that mark and before these rows is deleted: the
+    steps that led to them are over.
     """
-    path = new_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = new_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if since is not None:
+        _delete(spark, since, -1)
+    return spark.read.parquet(path)
