@@ -110,7 +110,6 @@ class Lattice:
 
     def __init__(self, pieces: Pieces, words: np.ndarray):
         self.pieces, (self.n, self.width) = pieces, words.shape
-        sums = np.zeros((self.n, self.width + 1), np.uint64)
         flat_sums = prefix_hashes(words.ravel())
         at = np.arange(self.n)[:, None] * self.width + np.arange(self.width + 1)[None, :]
         self.arcs: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
@@ -122,7 +121,6 @@ class Lattice:
                 if len(rows):
                     arcs.append((start, rows, ids[rows]))
             self.arcs[stop] = arcs
-        del sums
 
     def forward(self) -> np.ndarray:
         """Log sums of all ways to reach each place: ``n x (width + 1)``."""

@@ -56,5 +56,43 @@ FROM verdict
 """
 
 
+def near_dedup(shingle: int = 2) -> str:
+    """Components of documents whose sets of two-word shingles are alike."""
+    if shingle != 2:
+        raise ValueError("the statement is for two-word shingles")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes nx ON nx.doc_id = x JOIN sizes ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.y FROM reach r JOIN ways w ON w.x = r.other
+)
+SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, min(other) = r.doc_id AS kept
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def warc() -> str:
+    """What a round trip through archives must give back."""
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS r FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN r <> page_id THEN r END AS refers_to, true AS verified
+FROM p LEFT JOIN m ON m.h = p.h
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules()}
+    return {"op1_quality_rules": quality_rules(), "op3_minhash_near_dedup": near_dedup(), "op7_warc": warc()}
