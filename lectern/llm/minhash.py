@@ -4,13 +4,13 @@ A text is the set of its distinct word shingles. ``MINIMA`` hash minima per set
 keys of ``ROWS`` minima each; of every minimum only the ``BITS`` low bits are kept, packed into
 longs. Sets that share a band key are candidates; their similarity is estimated from the bit
 counts of the packed signatures, corrected for equal bits by chance, and candidates above
-``threshold`` less ``MARGIN`` (five standard errors) are confirmed on the full sets.
+``threshold`` less ``MARGIN`` (four and a half standard errors) are confirmed on the full sets.
 
 Large buckets are not expanded into pairs. Equal sets are one class from the start. In each
 round a bucket compares its members with one pivot only, the member that shares most keys;
-confirmed links are joined into components. What is left in the last round are members
-outside a bucket's largest component: they meet the rest of the bucket, so no link between
-different components is left out.
+confirmed links are joined into components. Last, members outside a bucket's largest component
+meet the other components of the bucket, so no link between components is left out: small
+components by a join, large ones in blocks of sets that give out links only.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing;
 a text with fewer words than a shingle has its whole word sequence as one shingle; rows with
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,14 @@ from lectern.llm.components import connected
 from lectern.llm.words import mix, shingles, word_slices
 from lectern.session import materialized
 
-MINIMA, BANDS, ROWS, BITS = 192, 38, 5, 4
+# Bands of seven rows, so that sets which share a common line only seldom share a key.
+MINIMA, BANDS, ROWS, BITS = 448, 64, 7, 4
 LONGS = MINIMA * BITS // 64
-MARGIN = 0.15
+MARGIN = 0.09
 STAR_ROUNDS = 2
+# Members of a component that are joined one by one; beyond that, shingles in a block of its sets.
+FEW = 16
+BLOCK = 500_000
 _random = np.random.default_rng(71)
 _FACTOR = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -133,32 +138,67 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - apart / MINIMA) - chance) / (1 - chance)
 
 
-class _Groups:
-    """The distinct sets of one table, their buckets, and the links confirmed so far."""
+def near_blocks(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs ``(a, b)`` of a block of rows ``rep, bits`` and another whose estimate is at least ``least``."""
+    x, y = (np.stack(df["bits"].to_numpy()).view(np.uint64) for df in (left, right))
+    most = MINIMA * (1 - (least * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))
+    ids_x, ids_y, low = left["rep"].to_numpy(), right["rep"].to_numpy(), np.uint64(int("1" * 16, 16))
+    found = []
+    for row, one in zip(ids_x, x, strict=True):
+        d = y ^ one
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        close = ids_y[np.bitwise_count(d & low).sum(axis=1) <= most]
+        found.append(np.stack([np.minimum(close, row), np.maximum(close, row)], axis=1))
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def alike_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs ``(a, b)`` of two blocks of rows ``rep, bits, members`` whose full sets are alike."""
+    pairs = near_blocks(left, right, percent / 100 - MARGIN)
+    own = {r: m for df in (left, right) for r, m in zip(df["rep"], df["members"], strict=True)}
+
+    def sure(a: int, b: int) -> bool:
+        both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+        return 100 * both >= percent * (len(own[a]) + len(own[b]) - both)
+
+    return pairs[[sure(a, b) for a, b in zip(pairs["a"], pairs["b"], strict=True)]]
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int):
-        self.docs, self.reps, self.shingle, self.percent = docs, reps, shingle, percent
-        exploded = reps.select("rep", F.explode("keys").alias("key"))
-        shared = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        met = materialized(exploded.join(shared, "key"), "buckets")
-        degree = met.groupBy("rep").agg(F.sum("m").alias("degree"))
-        self.buckets = materialized(met.select("key", "rep").join(degree, "rep"), "buckets")
-        self.parts: DataFrame | None = None
+
+class _Groups:
+    """The distinct sets that share a key, their buckets, and the components found so far."""
+
+    def __init__(self, docs: DataFrame, sketch: DataFrame, classes: DataFrame, shingle: int, percent: int):
+        self.percent = percent
+        own = F.xxhash64("n", "low", "high")
+        exploded = sketch.where("n > 0 and doc_id is not null").select(own.alias("cls"), F.explode("keys").alias("key"))
+        shared = exploded.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("key")
+        met = exploded.join(shared, "key").distinct()
+        met = materialized(met.join(classes.select(own.alias("cls"), "rep"), "cls").select("key", "rep"), "buckets")
+        sizes = met.groupBy("key").agg(F.count("*").alias("m"))
+        degree = met.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("degree"))
+        degree = materialized(degree, "degrees")
+        self.buckets = materialized(met.join(degree, "rep"), "buckets")
+        self.parts = degree.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+        wanted = degree.select(F.col("rep").alias("doc_id"))
+        signs = sketch.select("doc_id", "n", "bits").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        self.signs = materialized(signs.withColumnRenamed("doc_id", "rep"), "signatures")
+        # one plan at every size: the texts are dealt by id, once
+        texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
+        self.members = materialized(full_sets(texts, shingle), "members")
 
     def _labelled(self) -> DataFrame:
         """Members of the buckets that hold two components or more, with what is largest in them."""
-        if self.parts is None:
-            rows = self.buckets.withColumn("component", F.col("rep"))
-            return rows.withColumn("main", F.lit(False))
         label = self.parts.select(F.col("node").alias("rep"), "component")
-        rows = self.buckets.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = self.buckets.join(label, "rep")
         sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
         most = sizes.groupBy("key").agg(
             F.max(F.struct("c", (-F.col("component")).alias("x"))).alias("top"), F.count("*").alias("components")
         )
-        most = most.where("components > 1").select("key", (-F.col("top.x")).alias("largest"))
+        most = most.where("components > 1").select("key", F.when(F.col("top.c") > 1, -F.col("top.x")).alias("largest"))
         rows = rows.join(most, "key")
-        return rows.withColumn("main", F.col("component") == F.col("largest")).drop("largest")
+        return rows.withColumn("main", F.coalesce(F.col("component") == F.col("largest"), F.lit(False))).drop("largest")
 
     def star_pairs(self) -> DataFrame:
         """Each member outside its bucket's largest component, with the pivot of those members."""
@@ -168,29 +208,68 @@ class _Groups:
         pairs = rows.join(pivot, "key").where("component <> of")
         return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
-    def cross_pairs(self) -> DataFrame:
-        """Members outside their bucket's largest component with all members of other components."""
+    def cross_links(self) -> DataFrame:
+        """Links of members outside their bucket's largest component with the other components of the bucket."""
         rows = materialized(self._labelled().select("key", "rep", "component", "main"), "cross")
+        every = rows.groupBy("key", "component").agg(F.max("main").alias("main"))
         left = rows.where("not main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        pairs = left.join(rows, "key").where("component <> cx and (main or x < rep)")
-        return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+        meets = left.join(every, "key").where("component <> cx and (main or cx < component)").select("x", "component").distinct()
+        size = self.parts.groupBy("component").agg(F.count("*").alias("size"))
+        meets = materialized(meets.join(size, "component"), "meets")
+        few = meets.where(F.col("size") <= FEW).join(self.parts, "component").select(F.col("x"), F.col("node").alias("y"))
+        pairs = few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return self.confirm(pairs).union(materialized(self._blocks(meets.where(F.col("size") > FEW)), "confirmed"))
+
+    def _blocks(self, meets: DataFrame) -> DataFrame:
+        """Links of members ``x`` with members of large components.
+
+        Both sides are dealt into blocks of about ``BLOCK`` shingles, and each block of the one
+        meets each of the other; a task gives out links only.
+        """
+        signs = self.signs.join(self.members.withColumnRenamed("doc_id", "rep"), "rep")
+        x = meets.select("component", F.col("x").alias("rep")).join(signs, "rep")
+        large = meets.select("component").distinct()
+        y = self.parts.select("component", F.col("node").alias("rep")).join(large, "component", "left_semi").join(signs, "rep")
+        cut = F.ceil(F.sum("n") / BLOCK).cast("int")
+        sizes = x.groupBy("component").agg(cut.alias("nx")).join(y.groupBy("component").agg(cut.alias("ny")), "component")
+        place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        # both sides come from the same tables: new names for one of them
+        own = [F.col(c).alias(c) for c in ("rep", "bits", "members")]
+        x, y = x.join(sizes, "component"), y.join(sizes, "component")
+        x = x.select(F.col("component").alias("component"), place("nx").alias("bx"), every("ny").alias("by"), *own)
+        y = y.select("component", every("nx").alias("bx"), place("ny").alias("by"), "rep", "bits", "members")
+        percent = self.percent
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            return alike_blocks(left, right, percent)
+
+        group = ["component", "bx", "by"]
+        return x.groupBy(*group).cogroup(y.groupBy(*group)).applyInPandas(compare, "a long, b long")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are alike."""
-        side = self.reps.select("rep", "n", "bits")
         for x in ("a", "b"):
-            pairs = pairs.join(side.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+            pairs = pairs.join(self.signs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
         sized = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
         near = estimate(F.col("bitsa"), F.col("bitsb")) >= self.percent / 100 - MARGIN
         close = materialized(pairs.where(sized & near).select("a", "b", "na", "nb"), "candidates")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        members = materialized(full_sets(self.docs.join(wanted, "doc_id", "left_semi"), self.shingle), "members")
         for x in ("a", "b"):
-            close = close.join(members.select(F.col("doc_id").alias(x), F.col("members").alias(f"set{x}")), x)
+            close = close.join(self.members.select(F.col("doc_id").alias(x), F.col("members").alias(f"set{x}")), x)
         both = F.size(F.array_intersect("seta", "setb"))
         sure = F.lit(100) * both >= F.lit(self.percent) * (F.col("na") + F.col("nb") - both)
         return materialized(close.where(sure).select("a", "b"), "confirmed")
 
+    def link(self, links: DataFrame) -> None:
+        """Join the components of confirmed pairs."""
+        for x in ("a", "b"):
+            links = links.join(self.parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
+        joined = connected(links.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        parts = self.parts.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        self.parts = materialized(parts, "components")
+
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; ``kept`` is the smallest id of a group.
@@ -202,15 +281,10 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
     rows = sketch.select("doc_id", "n", "low", "high")
     named = rows.where("n > 0 and doc_id is not null")
     classes = materialized(named.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep")), "classes")
-    wanted = classes.select(F.col("rep").alias("doc_id"), "n", "low", "high")
-    reps = sketch.join(wanted, ["doc_id", "n", "low", "high"], "left_semi").dropDuplicates(["doc_id", "n", "low", "high"])
-    reps = materialized(reps.select(F.col("doc_id").alias("rep"), "n", "bits", "keys"), "distinct")
-    groups = _Groups(texts.where("doc_id is not null"), reps, shingle, percent)
-    found = None
-    for step in range(STAR_ROUNDS + 1):
-        more = groups.confirm(groups.star_pairs() if step < STAR_ROUNDS else groups.cross_pairs())
-        found = more if found is None else found.union(more)
-        groups.parts = materialized(connected(found), "components")
+    groups = _Groups(texts.where("doc_id is not null"), sketch, classes, shingle, percent)
+    for _ in range(STAR_ROUNDS):
+        groups.link(groups.confirm(groups.star_pairs()))
+    groups.link(groups.cross_links())
     label = groups.parts.select(F.col("node").alias("rep"), "component")
     owner = classes.join(label, "rep", "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(owner, ["n", "low", "high"], "left")

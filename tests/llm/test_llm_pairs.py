@@ -57,8 +57,10 @@ def brute_components(rows, n):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates(spark, n):
+@pytest.mark.parametrize(("n", "few"), [(2, 16), (5, 16), (2, 1)])
+def test_near_duplicates(spark, monkeypatch, n, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", 2000)
     texts = random_texts(n)
     odd = [None, "", "  ", "Solo", "solo", "a b", "A\tB", "x y z", "long " * 20_000, "long " * 20_001]
     # a group of edited copies of one text that are less like each other than like it
