@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import chain, flat, mix, powers, prefix_hashes, range_hashes, slices
-from lectern.session import materialized
+from lectern.session import materialized, scratch_mark
 
 LENGTH = 400
-STEPS = 4
+STEPS = 6
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -58,7 +58,7 @@ class Sizes:
 
     @property
     def dense(self) -> tuple[int, int]:
-        return max(1, self.length * 2 // 25), max(1, self.length * 4 // 25)
+        return max(1, self.length * 2 // 25), max(1, self.length * 6 // 25)
 
     @property
     def block(self) -> int:
@@ -406,6 +406,7 @@ def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
     Symbols are positive; 0 ends or separates. Suffixes that agree in ``3 ** levels`` symbols may
     share a rank. All strings are sorted together.
     """
+    mark = scratch_mark(strings.sparkSession)
     frame = materialized(strings.select("doc_id", "s", F.size("s").alias("n")), "strings")
     if levels == 0:
         return frame.select("doc_id", F.col("s").alias("r"))
@@ -420,7 +421,7 @@ def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
     first = _exploded(both, ["s", "r"], _first_merge, "i long, cls int, base long, c0 long, c1 long")
     second = _exploded(both, ["s", "r"], _second_merge, "i long, cls int, base long, c0 long, c1 long, c2 long")
     merged_rows = less_counts(first, ["c0", "c1"], own=True).union(less_counts(second, ["c0", "c1", "c2"], own=False))
-    return _gathered(merged_rows, frame, lambda n: n)
+    return materialized(_gathered(merged_rows, frame, lambda n: n), "ranks", since=mark)
 
 
 # --- repeats ---
@@ -525,8 +526,9 @@ def _neighbours(anchors: DataFrame, sizes: Sizes) -> DataFrame:
 
 def repeated_spans(work: DataFrame, sizes: Sizes) -> DataFrame:
     """``doc_id, start, stop`` of the places ``[start, stop)`` at which repeated strings begin."""
+    mark = scratch_mark(work.sparkSession)
     strings, levels = block_names(work, sizes)
-    ranks = suffix_ranks(strings, levels)
+    ranks = materialized(suffix_ranks(strings, levels), "ranks", since=mark)
     steps = np.array(sizes.ladder)
 
     def anchors(doc_id: int, b: Blocks, r: pa.Scalar) -> pa.RecordBatch:
