@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, minhash, mixing, suffixes
-from lectern.llm.quality import quality
+from lectern.llm.quality import passing
 from lectern.session import materialized
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,7 +43,7 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality(docs).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,20 +53,23 @@ RULES = (
     Rule("cut_lines", "ellipsis_line_ratio", 0.0, 0.3),
 )
 
-#: Ratios by name, over the counts of ``measured``.
-MEASURES: dict[str, Callable[[], Column]] = {
-    "n_words": lambda: F.col("n_words"),
-    "mean_word_chars": lambda: _ratio("word_chars", "n_words"),
-    "symbol_ratio": lambda: _ratio("n_symbols", "n_words"),
-    "stop_ratio": lambda: _ratio("n_stop_words", "n_words"),
-    "dup_line_ratio": lambda: _ratio("n_dup_lines", "n_lines"),
-    "bullet_line_ratio": lambda: _ratio("n_bullet_lines", "n_lines"),
-    "ellipsis_line_ratio": lambda: _ratio("n_ellipsis_lines", "n_lines"),
+#: Ratios by name, over the counts of ``measured`` (a struct).
+MEASURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda c: c["n_words"],
+    "mean_word_chars": lambda c: _ratio(c["word_chars"], c["n_words"]),
+    "symbol_ratio": lambda c: _ratio(c["n_symbols"], c["n_words"]),
+    "stop_ratio": lambda c: _ratio(c["n_stop_words"], c["n_words"]),
+    "dup_line_ratio": lambda c: _ratio(c["n_dup_lines"], c["n_lines"]),
+    "bullet_line_ratio": lambda c: _ratio(c["n_bullet_lines"], c["n_lines"]),
+    "ellipsis_line_ratio": lambda c: _ratio(c["n_ellipsis_lines"], c["n_lines"]),
 }
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines",
+)
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 def words_in(text: Column) -> Column:
@@ -127,21 +130,52 @@ def _word_counts(text: Column, stop_words: tuple[str, ...] | list[str]) -> Colum
     )
 
 
-def measured(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """``docs`` with the counts that the rules use."""
-    t = F.col(text)
-    whole = F.coalesce(t, F.lit(""))
-    counts = {
-        "n_words": F.col("_w.n_words"),
+def measured(text: Column, stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS)) -> Column:
+    """The counts that the rules use, as one struct."""
+    whole = F.coalesce(text, F.lit(""))
+    chars = {
         "word_chars": F.length(F.translate(whole, SPACES, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_stop_words": F.col("_w.n_stop_words"),
-        "n_repeat_words": F.col("_w.n_repeat_words"),
-        **{name: F.col(f"_l.{name}") for name in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")},
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in counts and c not in ("_w", "_l")]
-    structs = docs.withColumns({"_w": _word_counts(t, stop_words), "_l": _line_counts(t)})
-    return structs.select(*kept, *(c.alias(name) for name, c in counts.items()))
+    parts = F.struct(_word_counts(text, stop_words).alias("w"), _line_counts(text).alias("l"), *(c.alias(n) for n, c in chars.items()))
+
+    def merged(p: Column) -> Column:
+        own = {f: p["w"][f] for f in ("n_words", "n_stop_words", "n_repeat_words")}
+        own |= {f: p["l"][f] for f in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")}
+        own |= {f: p[f] for f in chars}
+        return F.struct(*(own[f].alias(f) for f in COUNTS))
+
+    return let(parts, merged)
+
+
+def verdict(
+    text: Column,
+    rules: tuple[Rule, ...] = RULES,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS),
+) -> Column:
+    """Counts, ``base_failed``, ``failed`` and ``kept`` of a text as one struct.
+
+    The counts are bound once inside the expression, so a filter on a part of it that the
+    optimizer moves below a projection does not count again for each rule.
+    """
+
+    def judged(c: Column) -> Column:
+        base = (c["n_words"] < min_words) | (F.lit(100) * c["n_repeat_words"] > F.lit(max_repeat_percent) * c["n_words"])
+        broken = [F.when(~MEASURES[r.measure](c).between(r.low, r.high), F.lit(r.name)) for r in rules]
+        failed = F.filter(F.array(*broken), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
+        return let(
+            F.struct(base.alias("base"), failed.alias("failed")),
+            lambda v: F.struct(
+                *(c[f].alias(f) for f in COUNTS),
+                v["base"].alias("base_failed"),
+                v["failed"].alias("failed"),
+                (~v["base"] & (F.size(v["failed"]) == 0)).alias("kept"),
+            ),
+        )
+
+    return let(measured(text, stop_words), judged)
 
 
 def quality(
@@ -153,11 +187,12 @@ def quality(
     stop_words: tuple[str, ...] | list[str] = tuple(STOP_WORDS),
 ) -> DataFrame:
     """``docs`` with its counts, ``base_failed``, ``failed`` (names of broken rules) and ``kept``."""
-    base = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words"))
-    broken = [F.when(~MEASURES[r.measure]().between(r.low, r.high), F.lit(r.name)) for r in rules]
-    failed = F.filter(F.array(*broken), lambda x: x.isNotNull()) if rules else F.array().cast("array<string>")
-    out = measured(docs, text, stop_words)
-    out = out.select(*(f"`{c}`" for c in out.columns if c not in ("base_failed", "failed", "kept")))
-    return out.withColumns({"base_failed": base, "failed": failed}).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("failed") == 0)
-    )
+    made = (*COUNTS, "base_failed", "failed", "kept")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made and c != "_q"]
+    judged = docs.withColumn("_q", verdict(F.col(f"`{text}`"), rules, min_words, max_repeat_percent, stop_words))
+    return judged.select(*kept, *(F.col(f"_q.{f}").alias(f) for f in made))
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects."""
+    return docs.where(verdict(F.col(f"`{text}`"), rules)["kept"])
