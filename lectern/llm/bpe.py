@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 512
-CACHED = 300_000
+CACHED = 100_000
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, LONG)
 ROWS = 1 << 15
 NEVER = np.int32(np.iinfo(np.int32).max)
