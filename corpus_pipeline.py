@@ -5,7 +5,7 @@ writes each stage's rows to the shared folder and gives them to the next one.
 
 1. quality rules: documents that break a rule go;
 2. near duplicates (five-word shingles, similarity 0.8): one document of each group stays;
-3. repeats of 400 bytes or more are cut from the texts, no document is dropped;
+3. repeated passages of more than 50 words are cut from the texts, no document is dropped;
 4. mixing: documents of languages below their target weight are repeated, none is dropped;
 5. tokens: byte-level BPE ids, and the digest of the text that they decode to.
 
@@ -27,6 +27,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 EVEN = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
 TARGETS = {"de": 0.18, "en": 0.5, "es": 0.14, "fr": 0.18}
 MAX_LABELLED = 20_000
+#: Repeated passages of this many words are cut; so many words and the spaces between them have at least ``PASSAGE_BYTES``.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 #: Mixing and tokenizing with a public vocabulary have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -51,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.repeats_removed(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    cut = suffixes.repeats_removed(docs, PASSAGE_BYTES, min_words=PASSAGE_WORDS)
+    return cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
 
 
 def language_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ in one task; only a few numbers per partition go through the driver.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeats never
 cross texts; overlapping repeats of one text count; rows with equal texts of ``length`` bytes
-or more lose all of them.
+or more lose all of them. With ``min_words`` only runs of repeated bytes that hold that many
+whole words are cut, and a text that is repeated as a whole goes if it has that many.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.quality import BREAKS
 from lectern.llm.words import chain, flat, mix, powers, prefix_hashes, range_hashes, slices
 from lectern.session import materialized, scratch_mark
 
@@ -621,10 +623,21 @@ def cut_spans(starts: DataFrame, length: int) -> DataFrame:
     return starts.groupBy("doc_id").agg(spans.alias("cuts"))
 
 
-def kept_bytes(data: bytes | memoryview, cuts: np.ndarray) -> tuple[bytes, int, int]:
-    """What is left of a text, the bytes removed and the number of runs."""
+def whole_words(data: bytes | memoryview, start: int, stop: int) -> int:
+    """Words between white space that lie in ``[start, stop)`` to their ends."""
+    around = bytes(data[max(start - 1, 0) : stop + 1])
+    inner = around[start - max(start - 1, 0) :][: stop - start]
+    begun = start > 0 and not around[:1].isspace() and not inner[:1].isspace()
+    open_end = stop < len(data) and not around[-1:].isspace() and not inner[-1:].isspace()
+    return len(inner.split()) - begun - open_end
+
+
+def kept_bytes(data: bytes | memoryview, cuts: np.ndarray, min_words: int = 0) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed and the number of runs; runs of fewer words stay."""
     cuts = merged(cuts)
     whole = np.frombuffer(data, np.uint8)
+    if min_words:
+        cuts = cuts[[whole_words(data, a, b) >= min_words for a, b in cuts.tolist()]]
     keep = np.ones(len(whole) + 1, np.int32)
     keep[:] = 0
     keep[cuts[:, 0]] += 1
@@ -633,7 +646,7 @@ def kept_bytes(data: bytes | memoryview, cuts: np.ndarray) -> tuple[bytes, int,
     return left.tobytes(), len(whole) - len(left), len(cuts)
 
 
-def _cut(work: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+def _cut(work: DataFrame, starts: DataFrame, length: int, min_words: int = 0) -> DataFrame:
     """``doc_id, gone, runs, left``: what is left of the texts that lose something."""
     partial = work.select("doc_id", "data").join(cut_spans(starts, length), "doc_id")
 
@@ -641,7 +654,7 @@ def _cut(work: DataFrame, starts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [kept_bytes(part.column("data")[i].as_buffer(), _pairs(part.column("cuts"), i)) for i in range(part.num_rows)]
+                rows = [kept_bytes(part.column("data")[i].as_buffer(), _pairs(part.column("cuts"), i), min_words) for i in range(part.num_rows)]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (0, pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "gone", "runs", "left"])
 
@@ -673,13 +686,18 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "_left"])
 
 
-def repeats_removed(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats_removed(
+    docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", min_words: int = 0
+) -> DataFrame:
     """``docs`` with every text cut; bytes of characters that a cut went through go too. No row is dropped."""
     sketch, work, starts = _prepared(docs, length, doc_id, text)
-    cut = _cut(work, starts, length).select("doc_id", "left").mapInArrow(_decoded, "doc_id long, _left string")
-    gone = sketch.where("copied").select("doc_id", F.lit("").alias("_left"))
+    cut = _cut(work, starts, length, min_words).select("doc_id", "left").mapInArrow(_decoded, "doc_id long, _left string")
+    gone = sketch.where("copied").select("doc_id", F.lit("").alias("_left"), F.lit(True).alias("_whole"))
     # a text that is copied as a whole may be in both
-    new = gone.union(cut.join(gone, "doc_id", "left_anti")).withColumnRenamed("doc_id", "_cut_id").dropDuplicates(["_cut_id"])
+    new = gone.union(cut.join(gone, "doc_id", "left_anti").withColumn("_whole", F.lit(False)))
+    new = new.withColumnRenamed("doc_id", "_cut_id").dropDuplicates(["_cut_id"])
     joined = docs.join(new, F.col(f"`{doc_id}`").cast("long") == F.col("_cut_id"), "left")
-    value = F.when(F.col("_left").isNotNull(), F.col("_left")).otherwise(F.col(f"`{text}`"))
+    words = F.size(F.filter(F.split(F.col(f"`{text}`"), BREAKS), lambda w: w != ""))
+    short = F.col("_whole") & (words < min_words)
+    value = F.when(F.col("_left").isNotNull() & ~short, F.col("_left")).otherwise(F.col(f"`{text}`"))
     return joined.withColumn(text, value).select(*(f"`{c}`" for c in docs.columns))
