@@ -7,6 +7,10 @@ text that is link text. The best container (or the ``article`` or ``main`` aroun
 of its siblings that look like text are kept, without the parts that are no article: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
+Names (classes and ids) only hint at such parts. A name hides no element around the longest
+``article`` or ``main`` or, on a page without one, around most of the text that is no link; and
+names do not count at all if they would leave nothing.
+
 Defined cases: null and empty pages, and pages without text, give the empty text; unclosed and
 crossed tags close with the element around them; character references are decoded; nothing is
 cut, whatever the length.
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b(?:[^<>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     r"|<(script|style|title|noscript|template|textarea|svg|iframe|object|select|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>"
     r"|<[!?/][^>]*+>",
@@ -46,42 +51,53 @@ JUNK = re.compile(
     r"|navbar|navigation|breadcrumbs?|footer|header|masthead|pagination|pager|toolbar|widget|login|signup|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say what an element has or lacks, not what it is.
+ABOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 TAG_POINTS = {"article": 10.0, "main": 10.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 SENTENCE_END = re.compile(r"[.!?。…][\"'”’)]*$")
 
 
-def _junk(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is not part of the article."""
+def _junk(tag: str, attributes: str) -> str:
+    """How an element's attributes say that it is not part of the article: ``hidden``, only by its ``name``, or not."""
+    junk = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and JUNK.search(value):
-                return True
+            if tag not in ("html", "body", "article", "main") and JUNK.search(ABOUT.sub("", value)):
+                junk = "name"
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return "hidden"
         elif name == "hidden":
-            return True
+            return "hidden"
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return "hidden"
         elif "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return "hidden"
+    return junk
 
 
 class _Page:
-    """The block elements of one page and the blocks of text on them."""
+    """The block elements of one page and the blocks of text on them.
+
+    Elements with a name of junk are dropped, except those that start at a place in ``spared``;
+    without ``spared`` names do not count. ``named`` has the place of each of them and the number
+    of the one around it, ``within`` the innermost around each block element.
+    """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, spared: set[int] | None = None):
         self.parent, self.tag, self.dropped = [-1], ["body"], [False]
+        self.named: list[tuple[int, int]] = []
+        self.within = [-1]
+        self.spared = spared
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("body", 0, False)]
+        stack: list[tuple[str, int, bool, int]] = [("body", 0, False, -1)]
         buffer: list[str] = []
         linked = 0
         links = 0
@@ -101,10 +117,20 @@ class _Page:
 
         def pop_to(k: int) -> None:
             nonlocal links
-            for name, _, _ in stack[k:]:
+            for name, *_ in stack[k:]:
                 links -= name == "a"
             del stack[k:]
 
+        def judged(tag: str, attributes: str, start: int) -> tuple[bool, int]:
+            """Whether an element is dropped, and the innermost one with a name of junk."""
+            _, _, hide, inside = stack[-1]
+            junk = _junk(tag, attributes) if attributes else ""
+            if junk == "name":
+                self.named.append((start, inside))
+                inside = len(self.named) - 1
+            by_name = junk == "name" and self.spared is not None and start not in self.spared
+            return hide or junk == "hidden" or by_name, inside
+
         for m in TOKEN.finditer(html):
             if m.start() > at:
                 if not stack[-1][2]:
@@ -140,8 +166,7 @@ class _Page:
             attributes = m[4]
             if tag in INLINE:
                 if not attributes.endswith("/"):
-                    hide = stack[-1][2] or bool(attributes and _junk(tag, attributes))
-                    stack.append((tag, stack_node(), hide))
+                    stack.append((tag, stack_node(), *judged(tag, attributes, m.start())))
                     links += tag == "a"
                 continue
             flush()
@@ -156,16 +181,41 @@ class _Page:
                 elif stack[k][0] not in INLINE and (tag not in CLOSES or stack[k][0] in CONTAINS_LIST):
                     break
             node = len(self.parent)
-            hide = stack[-1][2] or tag in NOT_TEXT or bool(attributes and _junk(tag, attributes))
+            hide, inside = judged(tag, attributes, m.start())
+            hide = hide or tag in NOT_TEXT
             self.parent.append(stack_node())
             self.tag.append(tag)
             self.dropped.append(hide)
+            self.within.append(inside)
             if not attributes.endswith("/"):
-                stack.append((tag, node, hide))
+                stack.append((tag, node, hide, inside))
         if at < len(html) and not stack[-1][2]:
             buffer.append(html[at:])
         flush()
 
+    def holders(self) -> set[int]:
+        """Places of the elements with a name of junk around the longest article, or else around most of the unlinked text."""
+        own = [0] * len(self.parent)
+        for node, text, in_links in self.blocks:
+            own[node] += len(text) - in_links
+        total, held = sum(own), [0] * len(self.named)
+        for node, size in enumerate(own):
+            if self.within[node] >= 0:
+                held[self.within[node]] += size
+        for k in range(len(held) - 1, -1, -1):
+            if self.named[k][1] >= 0:
+                held[self.named[k][1]] += held[k]
+        for node in range(len(own) - 1, 0, -1):
+            own[self.parent[node]] += own[node]
+        whole = [i for i, t in enumerate(self.tag) if t in WHOLE and own[i] and not self.dropped[i]]
+        if not whole:
+            return {self.named[k][0] for k, size in enumerate(held) if 2 * size > total}
+        around, places = self.within[max(whole, key=lambda i: (own[i], -i))], set()
+        while around >= 0:
+            places.add(self.named[around][0])
+            around = self.named[around][1]
+        return places
+
     def main_text(self) -> str:
         blocks = [b for b in self.blocks if not self.dropped[b[0]]]
         if not blocks:
@@ -221,7 +271,12 @@ class _Page:
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    return _Page(html).main_text() if html else ""
+    if not html:
+        return ""
+    page = _Page(html)
+    if not page.named:
+        return page.main_text()
+    return _Page(html, page.holders()).main_text() or page.main_text()
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

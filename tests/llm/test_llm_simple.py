@@ -187,3 +187,27 @@ def test_warc_members_and_damage(spark, tmp_path):
     (tmp_path / "short").write_bytes(warc._member(plain)[:-30])
     with pytest.raises(Exception), pafs.LocalFileSystem().open_input_stream(str(tmp_path / "short"), compression=None) as stream:
         list(warc.records(stream))
+
+
+ARTICLE = "<p>" + "This is a sentence of the article, with commas, and more words. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout with-sidebar", "no-comments post", "fixed-header page", "post social-post"])
+def test_names_hide_no_article(name):
+    text = main_text.main_text(f"<p>{ARTICLE}</p>")
+    assert text.startswith("This is")
+    side = "<div class='sidebar'><p>Other things.</p></div>"
+    remarks = "<div id='comments'><article><p>A reader, who says no.</p></article></div>"
+    assert main_text.main_text(f"<body><div class='{name}'>{ARTICLE}</div>{side}</body>") == text
+    assert main_text.main_text(f"<body><div class='{name}'><article>{ARTICLE}</article>{remarks}</div></body>") == text
+
+
+def test_names_do_not_count_if_they_leave_nothing():
+    halves = "".join(f"<div class='widget'><p>Half a page, number {k}.</p></div>" for k in (1, 2))
+    assert main_text.main_text(f"<body>{halves}</body>")
+
+
+def test_self_closed_svg_ends_at_its_tag():
+    text = main_text.main_text(ARTICLE)
+    assert main_text.main_text(f"<body><svg viewBox='0 0 1 1'/><div>{ARTICLE}</div></body>") == text
+    assert main_text.main_text(f"<body><svg class='a/b'><path d='z'/>gone</svg><div>{ARTICLE}</div></body>") == text
