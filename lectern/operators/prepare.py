@@ -33,7 +33,7 @@ def hard_negatives(
     columns = [F.max(F.when(F.col("place") == i, F.col("text"))).alias(f"passage_top{i}") for i in range(1, keep + 1)]
     wide = kept.groupBy("qid").agg(*columns)
     filled = [F.coalesce(f"passage_top{i}", F.lit(NO_PASSAGE)).alias(f"passage_top{i}") for i in range(1, keep + 1)]
-    same = examples.select("id", F.col("context").alias("question")).join(queries, "question").select("id", "qid")
+    same = examples.select("id", "context").join(queries, F.col("context").eqNullSafe(F.col("question"))).select("id", "qid")
     return same.join(wide, "qid", "left").select("id", *filled)
 
 

@@ -299,6 +299,13 @@ def test_hard_negatives_leave_out_the_gold_passage(spark, texts, corpus):
     assert rows["f"].passage_top1 == rows["f"].passage_top3 == "None"
 
 
+def test_hard_negatives_keep_examples_without_context(spark, texts, corpus):
+    examples = spark.createDataFrame([("e", None), ("f", None), ("g", texts[3])], "id string, context string")
+    rows = {r.id: r for r in hard_negatives(examples, corpus, sparse.bm25_index(corpus)).collect()}
+    assert set(rows) == {"e", "f", "g"} and rows["g"].passage_top1 != "None"
+    assert all(rows[i][f"passage_top{k}"] == "None" for i in "ef" for k in (1, 2, 3))
+
+
 def test_positions_are_row_numbers(spark):
     ids = random.Random(5).sample(range(10000), 500)
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
