@@ -10,8 +10,9 @@ Payloads that occur again are written once. Of the records with equal payloads o
 ``revisit`` records that name it.
 
 Defined cases: a null payload is empty; a null id is written as ``null`` and read as null;
-rows with equal id and payload are all ``response`` if that id is the largest; white space and
-control characters in a target are percent-encoded.
+rows with equal id and payload are all ``response`` if that id is the largest; a target that is
+a URI is written and read as it is, escapes included; any other (with white space, control or
+non-ASCII characters) is percent-encoded with its percent signs, and a field of its own says so.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ ARCHIVE_BYTES = 64 << 20
 STEP = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
-KEPT_IN_TARGET = "!#$%&'()*+,/:;=?@[]~"
+KEPT_IN_TARGET = "!#$&'()*+,/:;=?@[]~"
 READ_SCHEMA = (
     "record_type string, page_id long, target string, payload_bytes long, payload_digest string, refers_to long, "
     "verified boolean, payload binary"
@@ -81,7 +82,10 @@ def record(kind: str, page_id: int | None, target: str | None, payload: bytes, r
         ("Content-Length", str(len(block))),
     ]
     if target is not None:
-        fields.insert(3, ("WARC-Target-URI", quote(target, safe=KEPT_IN_TARGET)))
+        as_is = quote(target, safe=KEPT_IN_TARGET + "%") == target
+        fields.insert(3, ("WARC-Target-URI", target if as_is else quote(target, safe=KEPT_IN_TARGET)))
+        if not as_is:
+            fields.insert(4, ("Target-Encoding", "percent"))
     if kind == "revisit":
         fields.insert(3, ("WARC-Refers-To", _name(refers_to)))
         fields.insert(3, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
@@ -252,10 +256,12 @@ def records(stream, payloads: bool = True) -> Iterator[tuple]:
         if kind == "response":
             good = good and own == payload.digest() and int(http.get("content-length", size)) == size
         target = fields.get("warc-target-uri")
+        if target is not None and fields.get("target-encoding") == "percent":
+            target = unquote(target)
         yield (
             kind,
             _page(fields.get("warc-record-id")),
-            None if target is None else unquote(target),
+            target,
             size if kind == "response" else int(http["content-length"]),
             own.hex() if own else None,
             _page(fields.get("warc-refers-to")) if kind == "revisit" else None,

@@ -169,6 +169,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_targets_come_back(spark, tmp_path):
+    urls = ["http://a/x%20y", "http://a/b%2Fc", "http://a/100%", "a b%20c", "é%C3%A9", " %0d%0a\r\n", "%", "", None]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.target for r in warc.round_trip(df).collect()} == dict(enumerate(urls))
+    assert b"WARC-Target-URI: http://a/x%20y\r\n" in warc.record("response", 1, "http://a/x%20y", b"")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert {r.page_id: r.target for r in warc.round_trip(pages).collect()} == {r.page_id: r.url for r in pages.collect()}
+
+
 def test_warc_members_and_damage(spark, tmp_path):
     archives = warc.write(spark.createDataFrame([(1, "u", "a" * 5000), (2, "v", "b")], "page_id long, url string, html string").coalesce(1), str(tmp_path))
     path = archives.first().path.replace("file:", "")
