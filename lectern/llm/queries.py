@@ -8,11 +8,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, fingerprint, langid, lattice, main_text, minhash, mixing, suffixes, warc
+from lectern.llm import bpe, clusters, fingerprint, langid, lattice, main_text, minhash, mixing, packing, resampling, suffixes, warc
 from lectern.llm.quality import quality
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,9 +70,24 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return main_text.extract(_table(spark, sf, "pages"), keep=["page_id", "url"])
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id"], with_ids=False)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.facts(clusters.fit(_table(spark, sf, "embeddings")))
+
+
+def op13_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return resampling.facts(resampling.resample(docs, _table(spark, sf, "benchmark"), keep=["doc_id"]))
+
+
 _QUERIES = (
     op1_quality_rules, op2_byte_bpe, op3_minhash_near_dedup, op4_source_mixing, op5_lm_scoring, op6_document_fingerprints,
-    op7_warc, op8_suffix_array_dedup, op9_language_id, op10_html_extraction,
+    op7_warc, op8_suffix_array_dedup, op9_language_id, op10_html_extraction, op11_packing, op12_centroid_clustering,
+    op13_target_resampling,
 )
 
 

@@ -94,5 +94,86 @@ FROM p LEFT JOIN m ON m.h = p.h
 """
 
 
+def clustering(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64) -> str:
+    """Rounds of assignment and new centroids, one pair of expressions for each."""
+    parts = [f"""vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda v: isfinite(v))) = {dim}
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM vectors ORDER BY h LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""assigned{r} AS MATERIALIZED (
+  SELECT row, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM (
+    SELECT row, c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM vectors v, centroids{r} m
+  ) GROUP BY row
+)""")
+        if r < rounds:
+            parts.append(f"""centroids{r + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.x, m.x) AS x FROM centroids{r} m LEFT JOIN (
+    SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n
+      FROM (SELECT a.c, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM vectors JOIN assigned{r} a USING (row)) GROUP BY c, i
+    ) GROUP BY c
+  ) n USING (c)
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM vectors JOIN assigned{rounds} a USING (row) JOIN centroids{rounds} m USING (c)
+"""
+
+
+def resampling(buckets: int = 10_000, percent: int = 10, min_words: int = 20, seed: int = 2024) -> str:
+    """Features of single words; the CRC of each distinct word is worked out byte by byte."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shift = "b"
+    for _ in range(8):
+        shift = f"list_transform({shift}, lambda c: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return rf"""
+WITH steps AS MATERIALIZED (
+  SELECT {shift} AS t FROM (SELECT range(0, 256) AS b)
+), words AS MATERIALIZED (
+  SELECT row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+), aimed AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), source_words AS MATERIALIZED (
+  SELECT row, unnest(w) AS word FROM words
+), hashed AS MATERIALIZED (
+  SELECT word, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+    lambda crc, b: xor(crc >> 8, t[xor(crc & 255, b) + 1])
+  ), 4294967295) % {buckets} AS bucket
+  FROM (SELECT word FROM source_words UNION SELECT word FROM aimed), steps
+), s AS MATERIALIZED (
+  SELECT bucket, count(*) AS n FROM source_words JOIN hashed USING (word) GROUP BY bucket
+), t AS MATERIALIZED (
+  SELECT bucket, count(*) AS n FROM aimed JOIN hashed USING (word) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT count(*) FROM source_words)::DOUBLE AS s, (SELECT count(*) FROM aimed)::DOUBLE AS t
+), gains AS MATERIALIZED (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (totals.s + {buckets}) / ((s.n + 1.0::DOUBLE) * (totals.t + {buckets}))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+), weights AS (
+  SELECT row, sum(gain)::BIGINT AS weight FROM source_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT row, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row)
+), placed AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {min_words}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {percent} * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (row)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules(), "op3_minhash_near_dedup": near_dedup(), "op7_warc": warc()}
+    return {
+        "op1_quality_rules": quality_rules(),
+        "op3_minhash_near_dedup": near_dedup(),
+        "op7_warc": warc(),
+        "op12_centroid_clustering": clustering(),
+        "op13_target_resampling": resampling(),
+    }
