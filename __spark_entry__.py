@@ -19,7 +19,7 @@ from lectern.functions import text as tx
 from lectern.functions.arrays import rows_of
 from lectern.functions.vectors import as_double, dot, l2_normalize
 from lectern.operators import corpus as co
-from lectern.operators import dense, ensemble, fusion, ivf, metrics, prepare, profile, sparse, spans, tfidf
+from lectern.operators import dense, ensemble, fusion, ivf, metrics, prepare, profile, quantized, sparse, spans, tfidf
 from lectern.operators.contain import containing
 from lectern.plans import reading, retrieval
 from lectern.session import materialized, new_dir
@@ -548,6 +548,33 @@ def ivf_single(spark, sf):
     return _hits(hits)
 
 
+def _code_cells(spark, sf, metric, bits):
+    """Packed codes in a folder per cell, written and read back."""
+    vectors = _vectors(spark, sf, "doc_id").select("doc_id", "embedding")
+    centroids = _centroids(spark, sf)
+    return stored.ivf_quantized_store(spark, new_dir(spark, "index"), vectors, metric=metric, bits=bits, centroids=centroids)
+
+
+def ivf_quantized_topk(spark, sf):
+    index = _code_cells(spark, sf, "inner_product", 8)
+    return _hits(quantized.quantized_topk(_vectors(spark, sf, "qid"), index, 10, 2))
+
+
+def ivf_quantized_l2(spark, sf):
+    index = _code_cells(spark, sf, "l2", 4)
+    return _hits(quantized.quantized_topk(_vectors(spark, sf, "qid"), index, 10, 1))
+
+
+def ivf_quantized_single(spark, sf):
+    return _hits(quantized.quantized_search(spark, _question_vector(), _code_cells(spark, sf, "l2", 8), 10, 2))
+
+
+def ivf_persisted_single(spark, sf):
+    vectors = _vectors(spark, sf, "doc_id").select("doc_id", "embedding")
+    cells = stored.ivf_store(spark, new_dir(spark, "index"), vectors, metric="inner_product", centroids=_centroids(spark, sf))
+    return _hits(stored.ivf_search_stored(spark, _question_vector(), *cells, 10))
+
+
 # --- fusion ---------------------------------------------------------------------
 
 
@@ -882,7 +909,7 @@ _QUERIES = (
     bm25_idf, bm25_topk, bm25_topk_block, bm25_single, tfidf_vocab, tfidf_vectors, tfidf_topk, tfidf_single, oov_questions,
     lsa_fit, lsa_topk,
     encode_hash, dense_topk, dense_topk_block, dense_single, l2_normalized, ivf_build, ivf_assign, scalar_quantize,
-    ivf_topk_ip, ivf_topk_l2, ivf_single,
+    ivf_topk_ip, ivf_topk_l2, ivf_single, ivf_persisted_single, ivf_quantized_topk, ivf_quantized_l2, ivf_quantized_single,
     hybrid_topk, assemble_context, attach_gold, retrieve_flow,
     contains_accuracy, recall_at_k, recall_detail, squad_em, squad_f1, squad_metrics, masked_accuracy, perplexity,
     in_batch_nll, in_batch_nll_hard, best_so_far,

@@ -17,6 +17,8 @@ from lectern.functions.vectors import as_double
 from lectern.operators.ranking import SCORE_DIGITS, top_k
 
 Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
+# Question vectors and passages as matrices to ``questions x passages`` scores.
+Scores = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 # A question side up to this many vectors is broadcast.
 BROADCAST_VECTORS = 4096
@@ -100,8 +102,8 @@ def dense_topk(
             batch = batch.filter(batch.column("v").is_valid())
             if batch.num_rows and len(ids):
                 doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                hits = _best_hits(ids, matrix.value, doc_ids, arrow_matrix(batch.column("v")), k, metric)
-                best = hits if best is None else _merge_hits(best, hits, k, metric)
+                hits = best_hits(ids, matrix.value, doc_ids, arrow_matrix(batch.column("v")), k, metric)
+                best = hits if best is None else merge_hits(best, hits, k, metric)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
@@ -132,9 +134,13 @@ def cell_topk(
     metric: str,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
     passages_per_block: int = PASSAGES_PER_BLOCK,
+    scores: Scores | None = None,
+    rows: Callable[[pd.Series], np.ndarray] | None = None,
 ) -> DataFrame:
     """Top ``k`` of questions ``(qid, v, cell)`` over the passages ``(doc_id, v, cell)`` of their cells.
 
+    Passages that are no plain vectors need ``rows``, which makes a matrix of them, and ``scores``.
+
     A cell is cut into blocks by id hash according to its size on both sides, so one
     that holds most of the rows is spread over many tasks. Every pair of blocks of a
     cell meets in one task, which multiplies two matrices and returns at most ``k``
@@ -144,10 +150,12 @@ def cell_topk(
     q_blocks = questions.groupBy("cell").agg(_blocks(F.count("*"), questions_per_block).alias("nq"))
     p_blocks = passages.groupBy("cell").agg(_blocks(F.count("*"), passages_per_block).alias("np"))
     blocks = F.broadcast(q_blocks.join(p_blocks, "cell"))
-    return _score_blocks(questions.join(blocks, "cell"), passages.join(blocks, "cell"), k, metric)
+    return _score_blocks(questions.join(blocks, "cell"), passages.join(blocks, "cell"), k, metric, scores, rows)
 
 
-def _score_blocks(questions: DataFrame, passages: DataFrame, k: int, metric: str) -> DataFrame:
+def _score_blocks(
+    questions: DataFrame, passages: DataFrame, k: int, metric: str, scores: Scores | None = None, rows: Callable[[pd.Series], np.ndarray] | None = None
+) -> DataFrame:
     """Send every question block to every passage block of its cell; ``nq`` and ``np`` are block counts."""
     every = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
     q = questions.select("cell", (F.pmod(F.xxhash64("qid"), "nq") + 1).alias("qb"), every("np").alias("pb"), "qid", "v")
@@ -158,7 +166,7 @@ def _score_blocks(questions: DataFrame, passages: DataFrame, k: int, metric: str
         qs, ps = qs[qs["v"].notna()], ps[ps["v"].notna()]
         if not len(qs) or not len(ps):
             return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
-        return _best_hits(qs["qid"].to_numpy(), _matrix(qs["v"]), ps["doc_id"].to_numpy(), _matrix(ps["v"]), k, metric)
+        return best_hits(qs["qid"].to_numpy(), _matrix(qs["v"]), ps["doc_id"].to_numpy(), (rows or _matrix)(ps["v"]), k, metric, scores)
 
     hits = q.groupBy("cell", "qb", "pb").cogroup(p.groupBy("cell", "qb", "pb")).applyInPandas(score, schema)
     return top_k(hits, "qid", k, largest=metric != "l2").select("qid", "rank", "doc_id", "score")
@@ -193,25 +201,25 @@ def similarity(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _best_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+def best_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str, scores: Scores | None = None) -> pd.DataFrame:
     """Best ``k`` passages of every question, scored in slices of bounded size."""
     step = max(k, SCORES_AT_ONCE // max(len(qids), 1))
     best = None
     for at in range(0, len(p), step):
-        hits = _slice_hits(qids, q, doc_ids[at : at + step], p[at : at + step], k, metric)
-        best = hits if best is None else _merge_hits(best, hits, k, metric)
+        hits = _slice_hits(qids, q, doc_ids[at : at + step], p[at : at + step], k, metric, scores)
+        best = hits if best is None else merge_hits(best, hits, k, metric)
     return best
 
 
-def _slice_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+def _slice_hits(qids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, p: np.ndarray, k: int, metric: str, scores: Scores | None) -> pd.DataFrame:
     order = np.argsort(doc_ids, kind="stable")
     doc_ids, p = doc_ids[order], p[order]
-    scores = similarity(q, p, metric)
-    keys = np.round(scores, SCORE_DIGITS) * (1 if metric == "l2" else -1)
+    table = similarity(q, p, metric) if scores is None else scores(q, p)
+    keys = np.round(table, SCORE_DIGITS) * (1 if metric == "l2" else -1)
     kept = [_smallest(row, k) for row in keys]
     rows = np.repeat(np.arange(len(qids)), [len(c) for c in kept])
     cols = np.concatenate(kept)
-    return pd.DataFrame({"qid": qids[rows], "doc_id": doc_ids[cols], "score": scores[rows, cols]})
+    return pd.DataFrame({"qid": qids[rows], "doc_id": doc_ids[cols], "score": table[rows, cols]})
 
 
 def _smallest(keys: np.ndarray, k: int) -> np.ndarray:
@@ -222,7 +230,7 @@ def _smallest(keys: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(keys[near], kind="stable")[:k]]
 
 
-def _merge_hits(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+def merge_hits(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
     both = pd.concat([a, b], ignore_index=True)
     key = both["score"].round(SCORE_DIGITS) * (1 if metric == "l2" else -1)
     both = both.assign(key=key).sort_values(["qid", "key", "doc_id"])

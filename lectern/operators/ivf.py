@@ -83,11 +83,18 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, metric: str, vec: str) ->
     return vectors.mapInArrow(assign, schema)
 
 
-def ivf_build(vectors: DataFrame, num_clusters: int = 64, metric: str = "inner_product", seed: int = 42, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Fit centroids and assign: ``(centroids, vectors with cluster_id)``; the latter are written once."""
+def ivf_build(
+    vectors: DataFrame,
+    num_clusters: int = 64,
+    metric: str = "inner_product",
+    seed: int = 42,
+    vec: str = "embedding",
+    centroids: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Fit centroids unless given, and assign: ``(centroids, vectors with cluster_id)``; the latter are written once."""
     if metric == "inner_product":
         vectors = vectors.withColumn(vec, l2_normalize(F.col(vec)))
-    centroids = ivf_fit(vectors, num_clusters, metric, seed, vec)
+    centroids = ivf_fit(vectors, num_clusters, metric, seed, vec) if centroids is None else centroids
     return centroids, materialized(ivf_assign(vectors, centroids, metric, vec), "ivf-cells")
 
 
@@ -127,15 +134,19 @@ def quantizer_bounds(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
-def scalar_quantize(vectors: DataFrame, bits: int = 8, vec: str = "embedding", out: str = "codes") -> DataFrame:
-    """Replace every value by its step between the dimension's bounds."""
+def scalar_quantize(vectors: DataFrame, bits: int = 8, vec: str = "embedding", out: str = "codes", bounds: DataFrame | None = None) -> DataFrame:
+    """Replace every value by its step between the dimension's bounds, an array of numbers (``quantized`` packs bytes).
+
+    Bounds of other vectors may be given; values outside them take the nearest step.
+    """
     levels = (1 << bits) - 1
-    bounds = quantizer_bounds(vectors, vec).select(F.struct("lo", "hi")).scalar()
-    bounded = vectors.withColumn("_b", bounds)
+    own = quantizer_bounds(vectors, vec) if bounds is None else bounds
+    bounded = vectors.withColumn("_b", own.select(F.struct("lo", "hi")).scalar())
 
     def step(x: Column, b: Column) -> Column:
         width = b["hi"] - b["lo"]
-        return F.when(width > 0, F.floor((x - b["lo"]) / width * levels + 0.5)).otherwise(0).cast("int")
+        at = F.floor((x - b["lo"]) / width * levels + 0.5)
+        return F.when(width > 0, F.greatest(F.least(at, F.lit(levels)), F.lit(0))).otherwise(0).cast("int")
 
     pairs = F.arrays_zip(F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"))
     return bounded.withColumn(out, F.zip_with(as_double(F.col(vec)), pairs, step)).drop("_b")

@@ -110,6 +110,25 @@ hits AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION
   FROM (SELECT qid, doc_id, {distance('probe.v', 'cell.v', metric)} AS score FROM probe JOIN cell USING (cluster_id))) WHERE rank <= {k})"""
 
 
+def coded(bits: int, metric: str) -> str:
+    """``pv`` with the vectors that stand for the packed codes: each component at its step between the dimension's bounds."""
+    levels = (1 << bits) - 1
+    unit = "v / sqrt(sum(v * v) OVER (PARTITION BY doc_id))" if metric == "inner_product" else "v"
+    return f"""raw AS (SELECT vec_id AS doc_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+unit AS (SELECT doc_id, dim, {unit} AS v FROM raw),
+lim AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM unit GROUP BY dim),
+whole AS (SELECT doc_id, list(v ORDER BY dim) AS v FROM unit GROUP BY doc_id),
+near_steps AS (SELECT doc_id, list(lo + floor((v - lo) / (hi - lo) * {levels} + 0.5) / {levels} * (hi - lo) ORDER BY dim) AS code FROM unit JOIN lim USING (dim) GROUP BY doc_id),
+pv AS (SELECT doc_id, v, code FROM whole JOIN near_steps USING (doc_id)),
+qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings)"""
+
+
+def coded_hits(bits: int, metric: str, nprobe: int, k: int) -> str:
+    """Cells are chosen by the vectors themselves, scores come from the codes."""
+    hits = ivf_hits(metric, nprobe, k).replace("cell AS (SELECT doc_id, v,", "cell AS (SELECT doc_id, code AS v,")
+    return f"{coded(bits, metric)}, {hits}"
+
+
 GOLD_EXAMPLES = "ex AS (SELECT qid || '-' || doc_id AS id, question, text AS gold_text FROM gold)"
 
 WINDOWS = """ex AS (SELECT doc_id AS id, lang || ' ' || source AS question, text AS context, string_split(text, ' ') AS toks FROM documents),
@@ -302,6 +321,12 @@ SELECT vec_id, string_agg(c8, ',' ORDER BY dim) AS c8, string_agg(c4, ',' ORDER
     passages = "pv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings)"
     out["ivf_single"] = f"WITH {passages}, one AS ({one}), {single_vector}, {ivf_hits('inner_product', 1, 10)} {show}"
 
+    out["ivf_persisted_single"] = out["ivf_single"]
+    out["ivf_quantized_topk"] = f"WITH {coded_hits(8, 'inner_product', 2, 10)} {show}"
+    out["ivf_quantized_l2"] = f"WITH {coded_hits(4, 'l2', 1, 10)} {show}"
+    own_question = coded_hits(8, "l2", 2, 10).replace("qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings)", single_vector)
+    out["ivf_quantized_single"] = f"WITH one AS ({one}), {own_question} {show}"
+
     # Fusion.
     out["hybrid_topk"] = f"""WITH {bm25(BENCHMARK_Q, 300)}, {encoded('pv', 'corpus', 'doc_id', 'text')}, {encoded('qv', 'q', 'qid', 'question')},
 {vector_hits(300, 'near')},

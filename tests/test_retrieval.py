@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lectern.operators.contain import containing
-from lectern.operators import dense, fusion, ivf, metrics, ranking, sparse, tfidf
+from lectern.operators import dense, fusion, ivf, metrics, quantized, ranking, sparse, tfidf
 from lectern.operators.prepare import hard_negatives
 from lectern.plans import retrieval
 from lectern.sources import index as stored
@@ -199,7 +199,7 @@ def test_null_vectors_are_left_out(spark, vectors, points, search):
 def test_scores_are_made_in_slices(vectors, points, monkeypatch, step):
     monkeypatch.setattr(dense, "SCORES_AT_ONCE", step)
     q, p = points[:25].astype(float), points.astype(float)
-    got = dense._best_hits(np.arange(25), q, np.arange(len(p))[::-1], p[::-1], 6, "inner_product")
+    got = dense.best_hits(np.arange(25), q, np.arange(len(p))[::-1], p[::-1], 6, "inner_product")
     want = exact(points, 6, "inner_product")
     assert {i: set(g["doc_id"]) for i, g in got.groupby("qid")} == {i: {x[1] for x in h} for i, h in want.items()}
 
@@ -353,3 +353,72 @@ def test_stored_lsa_and_clusters_over_it(spark, tmp_path, corpus, questions):
     assert hits_of(retrieval.find(questions, corpus, "lsa", options)) == fresh
     assert set(hits_of(retrieval.find(questions, corpus, "ivf", options))) == set(fresh)
     assert hits_of(retrieval.find(questions, corpus, "tfidf", options)) == hits_of(tfidf.tfidf_topk(questions, corpus, model, 3))
+
+
+def test_packed_codes_score_like_the_vectors_they_stand_for():
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.normal(size=(200, 7)), rng.normal(size=(5, 7))
+    lo, hi = vectors.min(0), vectors.max(0)
+    lo[2] = hi[2] = 0.5
+    for bits, width in ((8, 7), (4, 4)):
+        steps = quantized.Steps(lo, hi, bits)
+        codes = steps.encode(vectors)
+        decoded = steps.decode(codes)
+        assert codes.dtype == np.uint8 and codes.shape == (200, width)
+        others = [0, 1, 3, 4, 5, 6]
+        assert (np.abs(decoded - vectors)[:, others] <= ((hi - lo) / (2 * steps.levels) + 1e-12)[others]).all()
+        for metric in ("inner_product", "l2"):
+            assert np.allclose(steps.scores(asked, codes, metric), dense.similarity(asked, decoded, metric))
+        far = steps.decode(steps.encode(np.array([hi + 100, lo - 100, [np.nan] * 7])))
+        assert np.allclose(far, [hi, lo, lo])
+
+
+def plain_coded_hits(index, points, nprobe, k):
+    """Top k by decoded codes within the nearest cells, in plain Python."""
+    steps = quantized.steps_of(index.bounds, index.bits)
+    centers = {r.cluster_id: np.array(r.centroid) for r in index.centroids.collect()}
+    cells = [(r.doc_id, r.cluster_id, steps.decode(np.frombuffer(r.code, np.uint8)[None])[0]) for r in index.cells.collect()]
+    way = -1 if index.metric == "inner_product" else 1
+    score = lambda a, b: float(a @ b) if way < 0 else float(((a - b) ** 2).sum())
+    out = set()
+    for q, v in points.items():
+        near = {c for _, c in sorted((way * round(score(v, m), 6), c) for c, m in centers.items())[:nprobe]}
+        best = sorted((way * round(score(v, x), 6), i) for i, c, x in cells if c in near)[:k]
+        out |= {(q, rank, i) for rank, (_, i) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize(("metric", "bits"), [("inner_product", 8), ("l2", 4)])
+def test_quantised_cells(spark, vectors, points, tmp_path, metric, bits):
+    plain = vectors.select("doc_id", "embedding")
+    index = stored.ivf_quantized_store(spark, str(tmp_path), plain, 4, metric, bits)
+    again = stored.ivf_quantized_store(spark, str(tmp_path), plain.limit(0), 4, metric, bits)
+    assert index.cells.count() == again.cells.count() == len(points)
+    code = index.cells.first().code
+    assert 4 * len(code) <= points[0].nbytes and (bits == 8 or 8 * len(code) <= points[0].nbytes)
+    asked_for = {q: points[q].astype(float) for q in range(0, 25, 3)}
+    got = quantized.quantized_topk(asked(vectors).where("qid % 3 = 0"), again, 5, 2).collect()
+    assert {(r.qid, r.rank, r.doc_id) for r in got} == plain_coded_hits(index, asked_for, 2, 5)
+    q, v = next(iter(asked_for.items()))
+    one = quantized.quantized_search(spark, v.tolist(), again, 5, 2)
+    assert {(q, r.rank, r.doc_id) for r in one.collect()} == plain_coded_hits(index, {q: v}, 2, 5)
+    assert "PartitionFilters: [cluster_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_given_bounds_and_centroids_are_used(spark, vectors, points):
+    centroids = ivf.ivf_fit(vectors, 3, "l2")
+    bounds = spark.createDataFrame([([-0.1] * len(points[0]), [0.1] * len(points[0]))], "lo array<double>, hi array<double>")
+    index = quantized.quantized_build(vectors.select("doc_id", "embedding"), metric="l2", centroids=centroids, bounds=bounds)
+    steps = quantized.steps_of(index.bounds, 8)
+    for r in index.cells.collect():
+        assert np.allclose(steps.decode(np.frombuffer(r.code, np.uint8)[None])[0], np.clip(points[r.doc_id], -0.1, 0.1), atol=0.2 / 255)
+    clipped = ivf.scalar_quantize(vectors, 4, bounds=bounds).selectExpr("array_max(codes) AS hi", "array_min(codes) AS lo").agg({"hi": "max", "lo": "min"})
+    assert tuple(clipped.first()) in ((15, 0), (0, 15))
+    with pytest.raises(ValueError):
+        quantized.steps_of(bounds, 3)
+
+
+def test_digest_follows_the_rows_and_not_their_order(spark, corpus):
+    rows = corpus.select("doc_id", "text")
+    assert stored.digest_of(rows) == stored.digest_of(rows.repartition(7).orderBy("text"))
+    assert len({stored.digest_of(x) for x in (rows, rows.limit(5), rows.union(rows.limit(1)), rows.where("doc_id > 0"))}) == 4
