@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.split_json import json_entries
 from lectern.sources.writers import CSV
 
 CORPUS_VALUE = (
@@ -30,10 +31,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool) -> DataFrame:
-    """``(key, value)`` rows of JSON objects: one object per line, or one per file."""
-    objects = spark.read.text(path, wholetext=whole_file).select(
-        F.from_json("value", f"map<string,{value}>").alias("m")
-    )
+    """``(key, value)`` rows of JSON objects: one object per line, or one per file.
+
+    An object that fills a file is cut into its entries by all tasks that have a split of it.
+    """
+    if whole_file:
+        text = json_entries(spark, path).select(F.concat(F.lit("{"), "entry", F.lit("}")).alias("value"))
+    else:
+        text = spark.read.text(path)
+    objects = text.select(F.from_json("value", f"map<string,{value}>").alias("m"))
     # The outer form keeps the optimizer from parsing every object a second time for a size filter.
     return objects.select(F.explode_outer("m").alias("key", "value")).where(F.col("key").isNotNull())
 
@@ -41,8 +47,8 @@ def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool)
 def read_corpus(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Documents of a JSON object keyed by id: ``(doc_id, text, title, ...)``.
 
-    A single object has to be parsed in one piece; for large corpora use one object
-    per line (``whole_file=False``) or Parquet.
+    A single object is cut into its documents in parallel. Where it is known that there is one
+    object per line, ``whole_file=False`` spares a pass.
     """
     rows = _json_objects(spark, path, CORPUS_VALUE, whole_file)
     return rows.select(F.col("key").cast("long").alias("doc_id"), "value.*")
@@ -70,14 +76,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nested_qa(spark: SparkSession, path: str) -> DataFrame:
-    """A nested question file as written by its publisher, flattened."""
-    objects = spark.read.text(path, wholetext=True)
-    return flatten_nested_qa(objects.select(F.from_json("value", f"struct<{_fields(NESTED_SCHEMA)}>").alias("o")).select("o.data"))
-
-
-def _fields(schema: str) -> str:
-    name, kind = schema.split(" ", 1)
-    return f"{name}:{kind}"
+    """A nested question file as written by its publisher, flattened; its articles are cut apart in parallel."""
+    article = NESTED_SCHEMA.removeprefix("data array<").removesuffix(">")
+    articles = json_entries(spark, path, 2).select(F.from_json("entry", article).alias("a")).where("a.paragraphs is not null")
+    return flatten_nested_qa(articles.select(F.array("a").alias("data")))
 
 
 def flatten_nested_qa(df: DataFrame, data: str = "data") -> DataFrame:
