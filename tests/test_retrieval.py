@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lectern.operators.contain import containing
-from lectern.operators import dense, fusion, ivf, metrics, quantized, ranking, sparse, tfidf
+from lectern.operators import dense, fusion, ivf, lsa, metrics, quantized, ranking, sparse, tfidf
 from lectern.operators.prepare import hard_negatives
 from lectern.plans import retrieval
 from lectern.sources import index as stored
@@ -136,10 +136,10 @@ def test_lsa_matches_a_plain_svd(spark, texts, corpus, questions):
     _, vector = tfidf_vectors(texts, 40)
     rows = np.array([[vector(t).get(g, 0.0) for g in model.terms] for t in texts.values()])
     _, s, vt = np.linalg.svd(rows, full_matrices=False)
-    lsa = tfidf.lsa_fit(corpus, model, 5)
-    assert np.allclose(lsa.singular_values, s[:5])
+    fitted = lsa.lsa_fit(corpus, model, 5, tolerance=1e-12)
+    assert np.allclose(fitted.singular_values, s[:5])
     project = vt[:5].T
-    got = hits_of(tfidf.lsa_topk(questions, corpus, lsa, 5))
+    got = hits_of(lsa.lsa_topk(questions, corpus, fitted, 5))
     assert 2 not in got  # it has no vocabulary term
     for q, t in QUESTIONS:
         if q != 2:
@@ -238,6 +238,35 @@ def test_ivf_store(spark, vectors, tmp_path):
     assert sorted(map(tuple, first[0].select("cluster_id").collect())) == sorted(map(tuple, again[0].select("cluster_id").collect()))
 
 
+@pytest.mark.parametrize("values_at_once", [8_000_000, 90])
+def test_lsa_in_blocks_of_columns(spark, texts, corpus, questions, monkeypatch, values_at_once):
+    monkeypatch.setattr(lsa, "VALUES_AT_ONCE", values_at_once)
+    monkeypatch.setattr(lsa, "TERMS_A_ROW", 7)
+    model = tfidf.tfidf_fit(corpus, 30)
+    _, vector = tfidf_vectors(texts, 30)
+    rows = np.array([[vector(t).get(g, 0.0) for g in model.terms] for t in texts.values()])
+    _, s, vt = np.linalg.svd(rows, full_matrices=False)
+    fitted = lsa.lsa_fit(corpus, model, 6, tolerance=1e-13)
+    assert np.allclose(fitted.singular_values, s[:6])
+    v = np.zeros((len(model.terms), 6))
+    for r in fitted.components.collect():
+        v[r.term] = r.component
+    assert np.allclose(v.T @ v, np.eye(6)) and np.allclose(np.abs(vt[:6] @ v), np.eye(6), atol=1e-4)
+    got = {r.doc_id: r.embedding for r in lsa.lsa_vectors(corpus, fitted).collect()}
+    assert np.allclose([got[i] for i in texts], rows @ v)
+
+
+def test_lsa_of_a_low_rank_and_of_nothing(spark):
+    corpus = spark.createDataFrame([(i, "a b a b" if i % 2 else "c") for i in range(9)] + [(9, "")], "doc_id long, text string")
+    model = tfidf.tfidf_fit(corpus, 20)
+    fitted = lsa.lsa_fit(corpus, model, 10)
+    assert np.allclose(fitted.singular_values, np.sqrt([5, 4, 1]))
+    assert len(fitted.components.first().component) == 3
+    none = lsa.lsa_fit(corpus.limit(0), tfidf.tfidf_fit(corpus.limit(0), 20), 10)
+    assert none.singular_values == [] and none.components.count() == 0
+    assert lsa.lsa_vectors(corpus, none).count() == 10
+
+
 def test_quantised_values_stay_close(vectors, points):
     coded = ivf.scalar_quantize(vectors, 8)
     decoded = ivf.scalar_decode(coded, ivf.quantizer_bounds(vectors), 8).collect()
@@ -346,10 +375,10 @@ def test_assignment_has_no_centroid_cap(spark, points, vectors):
 
 def test_stored_lsa_and_clusters_over_it(spark, tmp_path, corpus, questions):
     model, rows = stored.tfidf_store(spark, str(tmp_path), corpus, 40)
-    lsa, projected = stored.lsa_store(spark, str(tmp_path), corpus, model, 4)
+    fitted, projected = stored.lsa_store(spark, str(tmp_path), corpus, model, 4)
     cells = stored.ivf_store(spark, str(tmp_path), projected, 3, encoder_name="lsa4")
-    options = retrieval.Options(k=3, tfidf=model, tfidf_rows=rows, lsa=lsa, lsa_vectors=projected, ivf=cells, ivf_over="lsa", nprobe=3)
-    fresh = hits_of(tfidf.lsa_topk(questions, corpus, lsa, 3))
+    options = retrieval.Options(k=3, tfidf=model, tfidf_rows=rows, lsa=fitted, lsa_vectors=projected, ivf=cells, ivf_over="lsa", nprobe=3)
+    fresh = hits_of(lsa.lsa_topk(questions, corpus, fitted, 3))
     assert hits_of(retrieval.find(questions, corpus, "lsa", options)) == fresh
     assert set(hits_of(retrieval.find(questions, corpus, "ivf", options))) == set(fresh)
     assert hits_of(retrieval.find(questions, corpus, "tfidf", options)) == hits_of(tfidf.tfidf_topk(questions, corpus, model, 3))
