@@ -141,7 +141,7 @@ class _Window:
         return int(sequence.max()) + 1, self._rows(order, doc, start, length, sequence + first, offset, lengths, with_ids)
 
     def _rows(self, order, doc, start, length, sequence, offset, lengths, with_ids: bool) -> Iterator[pa.RecordBatch]:
-        kept = pa.Table.from_batches(self.kept)
+        kept = pa.Table.from_batches(self.kept).combine_chunks()
         for at in range(0, len(order), ROWS_OUT):
             own = order[at : at + ROWS_OUT]
             ids = [self.ids[d][4 * a : 4 * (a + n)] for d, a, n in zip(doc[own].tolist(), start[own].tolist(), length[own].tolist(), strict=True)]
@@ -180,15 +180,18 @@ def pack(
         window = _Window()
         for batch in batches:
             kept, texts = batch.select(batch.schema.names[:-1]), batch.column(batch.num_columns - 1)
-            for at, value in enumerate(texts):
+            mark = 0
+            for at, value in enumerate(texts, 1):
                 ids = own.encode(value.as_py() or "") + end
-                window.kept.append(kept.slice(at, 1))
                 window.ids.append(ids)
                 window.tokens += len(ids) // 4
                 if len(window.ids) >= WINDOW_DOCS or window.tokens >= WINDOW_TOKENS:
+                    window.kept.append(kept.slice(mark, at - mark))
                     n, made = window.pieces(capacity, first, with_ids)
                     yield from made
-                    first, window = first + n, _Window()
+                    first, window, mark = first + n, _Window(), at
+            if mark < len(texts):
+                window.kept.append(kept.slice(mark))
         if window.ids:
             yield from window.pieces(capacity, first, with_ids)[1]
 

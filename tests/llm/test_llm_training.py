@@ -108,6 +108,15 @@ def test_repeated_ids_and_empty_tables(spark):
     assert sorted(rows, key=str) == sorted(packed.collect(), key=str)
 
 
+def test_windows_close_inside_of_batches(spark):
+    # more than a window, in one partition; ids go with their documents
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat('a ', cast(id % 5 as int)) AS text").coalesce(1)
+    rows = packing.pack(docs, TOKENS).collect()
+    tokenizer = Tokenizer.from_file(TOKENS)
+    five = [[*tokenizer.encode("a " * k).ids, 0] for k in range(5)]
+    check_pieces(rows, {i: five[i % 5] for i in range(9000)})
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(3)
     lengths = np.minimum(rng.lognormal(5, 0.8, 4000).astype(int) + 1, 1023)
