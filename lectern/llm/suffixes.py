@@ -22,7 +22,8 @@ in one task; only a few numbers per partition go through the driver.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeats never
 cross texts; overlapping repeats of one text count; rows with equal texts of ``length`` bytes
-or more lose all of them. With ``min_words`` only runs of repeated bytes that hold that many
+or more lose all of them, also where an id is null or occurs twice, since texts are told apart by
+their digests and not by their ids, which may be of any type. With ``min_words`` only runs of repeated bytes that hold that many
 whole words are cut, and a text that is repeated as a whole goes if it has that many.
 """
 
@@ -119,7 +120,7 @@ def _long_lists(values: np.ndarray, begins: np.ndarray, kind=np.int64) -> pa.Arr
 
 
 def sketches(rows: DataFrame, sizes: Sizes) -> DataFrame:
-    """Per row ``doc_id, text_key, n_bytes, sha`` and its sparse anchors: ``a`` (hash), ``lo``, ``hi``, ``again``."""
+    """Per row ``doc_id`` (as a string), ``text_key, n_bytes, sha`` and its sparse anchors: ``a`` (hash), ``lo``, ``hi``, ``again``."""
     k, w = sizes.sparse
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,22 +156,23 @@ def sketches(rows: DataFrame, sizes: Sizes) -> DataFrame:
 
     return rows.mapInArrow(
         run,
-        "doc_id long, text_key long, n_bytes long, sha string, a array<long>, lo array<long>, hi array<long>, again array<boolean>",
+        "doc_id string, text_key long, n_bytes long, sha string, a array<long>, lo array<long>, hi array<long>, again array<boolean>",
     )
 
 
 def regions(sketch: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """``doc_id, spans`` for one row per distinct text: where repeats can lie, as merged ``[start, stop)``."""
+    """``doc_id, text_key, spans`` for one row per distinct text: where repeats can lie, as merged ``[start, stop)``."""
     each = sketch.select("doc_id", "text_key", F.explode(F.arrays_zip("a", "lo", "hi", "again")).alias("z"))
     each = each.select("doc_id", "text_key", "z.a", "z.lo", "z.hi", "z.again")
     seen = each.groupBy("a").agg(
         F.min("text_key").alias("first"), F.max("text_key").alias("last"), F.max("again").alias("again")
     )
     repeated = seen.where("first <> last or again").select("a")
-    firsts = classes.select(F.col("rep").alias("doc_id"), "text_key")
-    mine = sketch.join(firsts, ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode(F.arrays_zip("a", "lo", "hi")).alias("z"))
-    spans = mine.select("doc_id", "z.a", "z.lo", (F.col("z.hi") + length).alias("stop")).join(repeated, "a", "left_semi")
-    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("lo", "stop"))).alias("spans"))
+    firsts = classes.select(F.col("rep"), F.col("text_key").alias("_key"))
+    own = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    mine = sketch.join(firsts, own, "left_semi").select("doc_id", "text_key", F.explode(F.arrays_zip("a", "lo", "hi")).alias("z"))
+    spans = mine.select("doc_id", "text_key", "z.a", "z.lo", (F.col("z.hi") + length).alias("stop")).join(repeated, "a", "left_semi")
+    return spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "stop"))).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -606,17 +608,26 @@ def _prepared(docs: DataFrame, length: int, doc_id: str, text: str) -> tuple[Dat
     """Sketches with ``copied``, the documents to work on, and the places where repeats begin."""
     sizes = Sizes(length)
     texts = docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("data")
+        F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("data")
     )
     sketch = materialized(sketches(texts, sizes), "sketches")
     classes = sketch.where(F.col("n_bytes") >= length).groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialized(classes, "classes")
-    spans = regions(sketch, classes, length)
-    work = materialized(texts.join(spans, "doc_id").dropDuplicates(["doc_id"]), "work")
+    spans = regions(sketch, classes, length).select(F.col("doc_id").alias("rep"), F.col("text_key").alias("key"), "spans")
+    # the id goes into the join to keep the copies of a text apart, null ids too
+    chosen = texts.withColumn("text_key", text_key(F.col("data")))
+    chosen = chosen.join(spans, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    # from here on a distinct text is a document, named by its key
+    work = materialized(chosen.select(F.col("key").alias("doc_id"), "data", "spans").dropDuplicates(["doc_id"]), "work")
     copied = classes.where("copies > 1").select("text_key", F.lit(True).alias("copied"))
     return sketch.join(copied, "text_key", "left"), work, repeated_spans(work, sizes)
 
 
+def text_key(data: Column) -> Column:
+    """The first 64 bits of the SHA-256 digest, as ``sketches`` has them."""
+    return F.conv(F.substring(F.sha2(data, 256), 1, 16), 16, -10).cast("long")
+
+
 def cut_spans(starts: DataFrame, length: int) -> DataFrame:
     """``doc_id, cuts``: sorted distinct ``[start, stop)`` byte ranges to remove, not yet merged."""
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("stop") + length - 1).alias("stop"))))
@@ -667,12 +678,15 @@ def removal_facts(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     cut = _cut(work, starts, length).select("doc_id", "gone", "runs", F.sha2("left", 256).alias("left_sha"))
     nothing = hashlib.sha256(b"").hexdigest()
     copied = F.coalesce("copied", F.lit(False))
+    kind = docs.schema[doc_id].dataType
 
     def either(all_gone: Column, some: Column, none: Column) -> Column:
         return F.when(copied, all_gone).otherwise(F.coalesce(some, none))
 
-    return sketch.join(cut, "doc_id", "left").select(
-        "doc_id",
+    # rows of copied texts lose all, and would meet under one key
+    own = sketch.where("copied is null").join(cut.withColumnRenamed("doc_id", "text_key"), "text_key", "left")
+    return own.unionByName(sketch.where("copied"), allowMissingColumns=True).select(
+        F.col("doc_id").cast(kind).alias("doc_id"),
         "n_bytes",
         either(F.col("n_bytes"), F.col("gone"), F.lit(0).cast("long")).alias("n_removed"),
         either(F.lit(1).cast("long"), F.col("runs"), F.lit(0).cast("long")).alias("n_spans"),
@@ -692,11 +706,16 @@ def repeats_removed(
     """``docs`` with every text cut; bytes of characters that a cut went through go too. No row is dropped."""
     sketch, work, starts = _prepared(docs, length, doc_id, text)
     cut = _cut(work, starts, length, min_words).select("doc_id", "left").mapInArrow(_decoded, "doc_id long, _left string")
-    gone = sketch.where("copied").select("doc_id", F.lit("").alias("_left"), F.lit(True).alias("_whole"))
-    # a text that is copied as a whole may be in both
-    new = gone.union(cut.join(gone, "doc_id", "left_anti").withColumn("_whole", F.lit(False)))
-    new = new.withColumnRenamed("doc_id", "_cut_id").dropDuplicates(["_cut_id"])
-    joined = docs.join(new, F.col(f"`{doc_id}`").cast("long") == F.col("_cut_id"), "left")
+    gone = sketch.where("copied").select("doc_id", "text_key", F.lit("").alias("_left"), F.lit(True).alias("_whole"))
+    # texts without copies: one row each
+    single = sketch.where("copied is null").select("doc_id", "text_key")
+    some = single.join(cut.withColumnRenamed("doc_id", "text_key"), "text_key").select("doc_id", "text_key", "_left", F.lit(False).alias("_whole"))
+    new = gone.unionByName(some).select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), "_left", "_whole")
+    new = new.dropDuplicates(["_cut_id", "_cut_key"])
+    own_key = text_key(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")))
+    joined = docs.withColumn("_own_key", own_key).join(
+        new, (F.col("_own_key") == F.col("_cut_key")) & F.col(f"`{doc_id}`").cast("string").eqNullSafe(F.col("_cut_id")), "left"
+    )
     words = F.size(F.filter(F.split(F.col(f"`{text}`"), BREAKS), lambda w: w != ""))
     short = F.col("_whole") & (words < min_words)
     value = F.when(F.col("_left").isNotNull() & ~short, F.col("_left")).otherwise(F.col(f"`{text}`"))

@@ -187,6 +187,22 @@ def test_suffix_array_edge_tables(spark):
     assert got == {(1, 500, 500), (None, 5, 0), (2, 399, 0)}
 
 
+def test_texts_are_told_apart_by_their_bytes_and_not_by_their_ids(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, copied = prose(90), prose(80)
+    texts = [prose(20) + passage + prose(20), prose(50) + passage, passage + prose(30), prose(60), copied, copied, "", None, prose(70) + passage[:399], passage[7:]]
+    ids = ["a", "a", None, None, None, "b", "b", None, "c", "a"]
+    expected = brute_repeats(list(enumerate(texts)), 400)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string").repartition(3)
+    got = sorted(map(str, map(tuple, suffixes.removal_facts(df).collect())))
+    assert got == sorted(str((i, *expected[k])) for k, i in enumerate(ids))
+    assert sum(e[1] for e in expected.values()) > 2000
+    cut = sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in suffixes.repeats_removed(df).collect())
+    assert cut == sorted((str(i), expected[k][3]) for k, i in enumerate(ids))
+
+
 def test_suffix_ranks_are_the_suffix_order(spark):
     rng = random.Random(1)
     strings = {i: [rng.randint(1, 3) for _ in range(rng.randint(1, 30))] for i in range(12)}
