@@ -18,12 +18,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 512
-CACHED = 100_000
+#: Bytes of a generation of known pieces, what an entry costs beside its characters, and the longest piece that is kept.
+CACHE_BYTES = 1 << 24
+ENTRY = 200
+KEPT = 256
+#: Characters of texts whose tokens a task holds at a time.
+CHARS_AT_ONCE = 1 << 20
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, LONG)
 ROWS = 1 << 15
 NEVER = np.int32(np.iinfo(np.int32).max)
@@ -77,6 +83,7 @@ class Recent:
     def __init__(self) -> None:
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.held = 0
 
     def take(self, keys: set[str]) -> dict[str, str]:
         hits = {k: self.young[k] for k in keys & self.young.keys()}
@@ -85,9 +92,13 @@ class Recent:
         return hits | again
 
     def put(self, more: dict[str, str]) -> None:
-        if len(self.young) + len(more) > CACHED:
-            self.old, self.young = self.young, {}
-        self.young.update(more)
+        more = {k: v for k, v in more.items() if len(k) <= KEPT}
+        size = ENTRY * len(more) + sum(map(len, more)) + sum(map(len, more.values()))
+        if self.held + size > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        if size <= CACHE_BYTES:
+            self.young.update(more)
+            self.held += size
 
 
 class BytePairs:
@@ -262,7 +273,7 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
-def _groups(texts: Iterable[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
+def _groups(texts: Iterable[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[list[str | None]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
@@ -291,15 +302,28 @@ def _apply(df: DataFrame, keep: list[str], column: str, schema: str, rows) -> Da
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *rows(batch.column(batch.num_columns - 1))],
-                names=[*batch.schema.names[:-1], *(s.split()[0] for s in schema.split(", "))],
-            )
+        names = [f.split()[0] for f in schema.split(", ")]
+        for big in batches:
+            for start, stop in _parts(big.column(big.num_columns - 1)):
+                batch = big.slice(start, stop - start)
+                own = rows(batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], *names])
 
     return kept.mapInArrow(run, ", ".join([*fields, schema]))
 
 
+def _parts(column: pa.Array, limit: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text, or of numbers in lists; a larger value is one of its own."""
+    lists = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    sizes = pc.fill_null(pc.list_value_length(column) if lists else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(ends, ends[start] - sizes[start] + limit, "right"))
+        stop = max(stop, start + 1)
+        yield start, stop
+        start = stop
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all but ``ids``) and ``ids``, the token ids of the text."""
     keep = [c for c in (df.columns if keep is None else keep) if c != "ids"]
