@@ -6,6 +6,7 @@ come from scores rounded to six, so summation order does not change a result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 import oracle_queries
 from lectern.functions import text as tx
 from lectern.functions.arrays import rows_of
+from lectern.functions.batch import batch_spans
 from lectern.functions.vectors import as_double, dot, l2_normalize
 from lectern.operators import corpus as co
 from lectern.operators import dense, ensemble, fusion, ivf, lsa, metrics, prepare, profile, quantized, sparse, spans, tfidf
@@ -756,6 +758,17 @@ def chunk_windows_words(spark, sf):
     )
 
 
+def align_answer_words(spark, sf):
+    """Answer positions in windows of a tokenizer that sees whole batches in Python."""
+
+    def load():
+        word = re.compile(r"[^ .,|!\n]+")
+        return lambda texts: [[m.span() for m in word.finditer(t)] for t in texts]
+
+    chunks = prepare.chunk_windows(_examples(spark, sf), tokenizer=batch_spans(load, "words")).where(F.size("tokens") > 0)
+    return prepare.align_answer(chunks).select("id", "chunk", "start_position", "end_position")
+
+
 def inference_features(spark, sf):
     f = prepare.inference_features(_chunks(spark, sf))
     inside = F.filter("offset_mapping", lambda o: o.isNotNull())
@@ -934,7 +947,7 @@ _QUERIES = (
     hybrid_topk, assemble_context, attach_gold, retrieve_flow,
     contains_accuracy, recall_at_k, recall_detail, squad_em, squad_f1, squad_metrics, masked_accuracy, perplexity,
     in_batch_nll, in_batch_nll_hard, best_so_far,
-    hard_negatives, chunk_windows, align_answer, inference_features, mlm_lines, pack_blocks, mask_tokens, training_batches,
+    hard_negatives, chunk_windows, align_answer, align_answer_words, inference_features, mlm_lines, pack_blocks, mask_tokens, training_batches,
     top_positions, span_pairs, null_score, span_nbest, nbest_softmax, best_answer, best_answer_null,
     agreement, differences, diff_intersect, diff_union, side_by_side, max_probability, confidence_summary, pair_confidence,
     ensemble_rules, ensemble_flags, ensemble_apply,

@@ -75,11 +75,12 @@ def chunk_windows(
 
         return F.transform(F.sequence(F.lit(0), last), cut)
 
-    room = _room(max_length, specials, tokenizer)
-    cut_up = let(tokenizer(F.col("context")), lambda t: let(room, lambda r: windows(t, r)))
-    kept = ["id"] + (["answers"] if "answers" in examples.columns else [])
+    # columns of their own, since a tokenizer in Python cannot stand inside a lambda
+    room, kept = F.col("_room"), ["id"] + (["answers"] if "answers" in examples.columns else [])
+    fitting = examples.withColumn("_room", _room(max_length, specials, tokenizer)).where(room > stride)
+    fitting = fitting.select(*kept, "_room", tokenizer(F.col("context")).alias("_spans"))
+    cut_up = let(F.col("_spans"), lambda t: let(room, lambda r: windows(t, r)))
     context_start = (F.lit(max_length - 1) - room).cast("long").alias("context_start")
-    fitting = examples.where(room > stride)
     return rows_of(fitting, [*kept, context_start], cut_up, "w").select(*kept, "context_start", "w.*")
 
 

@@ -388,6 +388,14 @@ f AS (SELECT edge.id, edge.chunk, coalesce(lo <= a AND hi >= a + w, false) AS in
 SELECT f.id, f.chunk, CASE WHEN any_value(inside) THEN max(CASE WHEN s <= a THEN p END) ELSE 0 END::BIGINT AS start_position,
   CASE WHEN any_value(inside) THEN min(CASE WHEN e >= a + f.w THEN p END) ELSE 0 END::BIGINT AS end_position
   FROM f JOIN wtok ON wtok.id = f.id AND wtok.chunk = f.chunk GROUP BY f.id, f.chunk"""
+    out["align_answer_words"] = f"""{WORD_WINDOWS[:WORD_WINDOWS.index("SELECT o.id")].rstrip()}, {ANSWERS},
+tok AS (SELECT o.id, w.chunk, 383 - w.cap + i - w.chunk * (w.cap - 128) AS p, e - length(t) AS s, e
+  FROM o JOIN w ON o.id = w.id AND i >= w.chunk * (w.cap - 128) AND i < w.chunk * (w.cap - 128) + w.cap),
+edge AS (SELECT id, chunk, min(s) AS lo, max(e) AS hi FROM tok GROUP BY id, chunk),
+f AS (SELECT edge.id, edge.chunk, coalesce(lo <= a AND hi >= a + w, false) AS inside, a, w FROM edge LEFT JOIN ans ON ans.id = edge.id)
+SELECT f.id, f.chunk, CASE WHEN any_value(inside) THEN max(CASE WHEN s <= a THEN p END) ELSE 0 END::BIGINT AS start_position,
+  CASE WHEN any_value(inside) THEN min(CASE WHEN e >= a + f.w THEN p END) ELSE 0 END::BIGINT AS end_position
+  FROM f JOIN tok ON tok.id = f.id AND tok.chunk = f.chunk GROUP BY f.id, f.chunk"""
     out["inference_features"] = f"""WITH {WINDOWS} SELECT id, chunk, 384::BIGINT AS n_positions, count(*) AS n_inside, sum(s + e)::BIGINT AS offset_sum FROM wtok GROUP BY id, chunk"""
     out["mlm_lines"] = f"""SELECT doc_id, line_no, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
   FROM (SELECT doc_id, line_no, string_split(text, ' ')[1:512] AS t FROM {lines} WHERE {not_blank})"""
