@@ -379,7 +379,9 @@ def tfidf_persisted_single(spark, sf):
 
 
 def dense_persisted(spark, sf):
-    vectors = stored.vectors_store(spark, new_dir(spark, "index"), lambda: _vectors(spark, sf, "doc_id"))
+    given = _vectors(spark, sf, "doc_id").select("doc_id", "embedding")
+    path = stored.index_path(new_dir(spark, "index"), "vectors", corpus="embeddings")
+    vectors = stored.build_or_load(spark, path, lambda: {"vectors": given}, given)("vectors")
     return _hits(dense.dense_topk(_vectors(spark, sf, "qid"), vectors, 10))
 
 

@@ -421,7 +421,7 @@ def plain_coded_hits(index, points, nprobe, k):
 def test_quantised_cells(spark, vectors, points, tmp_path, metric, bits):
     plain = vectors.select("doc_id", "embedding")
     index = stored.ivf_quantized_store(spark, str(tmp_path), plain, 4, metric, bits)
-    again = stored.ivf_quantized_store(spark, str(tmp_path), plain.limit(0), 4, metric, bits)
+    again = stored.ivf_quantized_store(spark, str(tmp_path), plain, 4, metric, bits)
     assert index.cells.count() == again.cells.count() == len(points)
     code = index.cells.first().code
     assert 4 * len(code) <= points[0].nbytes and (bits == 8 or 8 * len(code) <= points[0].nbytes)
@@ -451,3 +451,28 @@ def test_digest_follows_the_rows_and_not_their_order(spark, corpus):
     rows = corpus.select("doc_id", "text")
     assert stored.digest_of(rows) == stored.digest_of(rows.repartition(7).orderBy("text"))
     assert len({stored.digest_of(x) for x in (rows, rows.limit(5), rows.union(rows.limit(1)), rows.where("doc_id > 0"))}) == 4
+
+
+def test_an_index_of_other_rows_is_built_anew(spark, corpus, tmp_path):
+    where = str(tmp_path)
+    few = corpus.where("doc_id < 9")
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert stored.bm25_store(spark, where, corpus, buckets=2).docs.count() == corpus.count()
+    before = stamps()
+    stored.bm25_store(spark, where, corpus.repartition(5), buckets=2)
+    assert stamps() == before
+    assert stored.bm25_store(spark, where, few, buckets=2).docs.count() == few.count()
+    # not compared on demand
+    assert stored.tfidf_store(spark, where, corpus, 20, check=False)[1].count() == corpus.count()
+    assert stored.tfidf_store(spark, where, few, 20, check=False)[1].count() == corpus.count()
+    assert stored.tfidf_store(spark, where, few, 20)[1].count() == few.count()
+
+
+def test_another_encoder_is_another_index(spark, corpus, tmp_path):
+    few = corpus.where("doc_id < 9")
+    first = stored.vectors_store(spark, str(tmp_path), few)
+    with pytest.raises(ValueError):
+        stored.vectors_store(spark, str(tmp_path), few, dense.hash_encoder(16))
+    second = stored.vectors_store(spark, str(tmp_path), few, dense.hash_encoder(16), encoder_name="hash16")
+    assert len(first.first().embedding) == 64 and len(second.first().embedding) == 16
+    assert stored.vectors_store(spark, str(tmp_path), corpus).count() == corpus.count()
