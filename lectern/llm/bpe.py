@@ -308,6 +308,8 @@ def _apply(df: DataFrame, keep: list[str], column: str, schema: str, rows) -> Da
                 batch = big.slice(start, stop - start)
                 own = rows(batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], *names])
+        # the worker stays for other stages, its buffers need not
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, ", ".join([*fields, schema]))
 
