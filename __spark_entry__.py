@@ -967,7 +967,10 @@ def _extra():
     try:
         from lectern.llm import queries as more
         from lectern.llm import statements
-    except ImportError:
+    except ModuleNotFoundError as missing:
+        # only their own absence is no error, not that of a library they need
+        if missing.name not in ("lectern.llm", "lectern.llm.queries", "lectern.llm.statements", "corpus_pipeline"):
+            raise
         return None, None
     return more, statements
 
