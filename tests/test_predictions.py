@@ -129,6 +129,19 @@ def test_prediction_files(spark, tmp_path, single):
         assert len(lines) == 1 and json.loads(lines[0]) == TRICKY
 
 
+def test_one_object_from_many_tasks(spark, tmp_path):
+    many = {str(i): f'text {i} "{{}}", \n' for i in range(500)}
+    df = answers(spark, many).repartition(7)
+    path = writers.write_predictions(df, str(tmp_path), "many", single=True)
+    assert [f.name for f in (tmp_path / path).iterdir() if not f.name.startswith(".")] == ["part-00000.json"]
+    assert json.loads((tmp_path / path / "part-00000.json").read_text()) == many
+    assert {r.id: r.text for r in readers.read_predictions(spark, path).collect()} == many
+    # written again in its place, and without a row
+    again = writers.write_predictions(df.limit(0), str(tmp_path), "many", single=True)
+    assert again == path and json.loads((tmp_path / path / "part-00000.json").read_text()) == {}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["predictions_many.json"]
+
+
 def test_pretty_printed_files(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps(TRICKY, indent=4, ensure_ascii=False))
     assert {r.id: r.text for r in readers.read_predictions(spark, str(tmp_path / "p.json")).collect()} == TRICKY
