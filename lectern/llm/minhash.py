@@ -9,8 +9,8 @@ counts of the packed signatures, corrected for equal bits by chance, and candida
 Large buckets are not expanded into pairs. Equal sets are one class from the start. In each
 round a bucket compares its members with one pivot only, the member that shares most keys;
 confirmed links are joined into components. Last, members outside a bucket's largest component
-meet the other components of the bucket, so no link between components is left out: small
-components by a join, large ones in blocks of sets that give out links only.
+meet that component and each other, so no link between components is left out: in blocks of
+sets that give out only links that join something (small largest components by a join).
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing;
 a text with fewer words than a shingle has its whole word sequence as one shingle; rows with
@@ -40,6 +40,7 @@ STAR_ROUNDS = 2
 # Members of a component that are joined one by one; beyond that, shingles in a block of its sets.
 FEW = 16
 BLOCK = 500_000
+ROWS_AT_ONCE = 2_000
 _random = np.random.default_rng(71)
 _FACTOR = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -138,32 +139,69 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - apart / MINIMA) - chance) / (1 - chance)
 
 
-def near_blocks(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs ``(a, b)`` of a block of rows ``rep, bits`` and another whose estimate is at least ``least``."""
+def _bits_apart(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many minima the packed signatures of ``rows`` differ from ``one``."""
+    d = rows ^ one
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(int("1" * 16, 16))).sum(axis=1)
+
+
+def _most_apart(percent: int) -> float:
+    """Differing minima up to which two sets may be alike."""
+    chance = 1 / (1 << BITS)
+    return MINIMA * (1 - ((percent / 100 - MARGIN) * (1 - chance) + chance))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted as unsigned numbers, are alike."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def alike_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each row ``rep, bits, members`` of ``left`` a pair ``(a, b)`` with a row of ``right`` whose full set is alike.
+
+    All of ``right`` is one component, so the first such row is enough.
+    """
     x, y = (np.stack(df["bits"].to_numpy()).view(np.uint64) for df in (left, right))
-    most = MINIMA * (1 - (least * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))
-    ids_x, ids_y, low = left["rep"].to_numpy(), right["rep"].to_numpy(), np.uint64(int("1" * 16, 16))
+    ids, sets_y, most = right["rep"].to_numpy(), right["members"].to_numpy(), _most_apart(percent)
     found = []
-    for row, one in zip(ids_x, x, strict=True):
-        d = y ^ one
-        d |= d >> np.uint64(1)
-        d |= d >> np.uint64(2)
-        close = ids_y[np.bitwise_count(d & low).sum(axis=1) <= most]
-        found.append(np.stack([np.minimum(close, row), np.maximum(close, row)], axis=1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    for row, own, one in zip(left["rep"].to_numpy(), left["members"], x, strict=True):
+        for k in np.flatnonzero(_bits_apart(y, one) <= most):
+            if _alike(own.view(np.uint64), sets_y[k].view(np.uint64), percent):
+                found.append((min(row, ids[k]), max(row, ids[k])))
+                break
+    pairs = np.array(found, np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def alike_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs ``(a, b)`` of two blocks of rows ``rep, bits, members`` whose full sets are alike."""
-    pairs = near_blocks(left, right, percent / 100 - MARGIN)
-    own = {r: m for df in (left, right) for r, m in zip(df["rep"], df["members"], strict=True)}
-
-    def sure(a: int, b: int) -> bool:
-        both = len(np.intersect1d(own[a], own[b], assume_unique=True))
-        return 100 * both >= percent * (len(own[a]) + len(own[b]) - both)
+def cell_links(cell: pa.Table, percent: int) -> pa.Table:
+    """Links ``a, b`` between components among the rows ``p, q, place, rep, component, n, bits, members`` of a cell.
 
-    return pairs[[sure(a, b) for a, b in zip(pairs["a"], pairs["b"], strict=True)]]
+    Links that join what earlier links of the cell have joined are left out, so there are fewer
+    links than rows. In a cell of two places, only rows of different places are compared.
+    """
+    cell = cell.sort_by("n").combine_chunks()
+    rep, own, n, place = (cell[c].to_numpy() for c in ("rep", "component", "n", "place"))
+    bits = cell["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), LONGS)
+    members = cell["members"].combine_chunks()
+    values, begins = members.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
+    two, own, most = cell["p"][0].as_py() != cell["q"][0].as_py(), own.copy(), _most_apart(percent)
+    stops = np.searchsorted(n, 100 * n // percent, "right")
+    found = []
+    for i in range(len(rep)):
+        others = np.arange(i + 1, stops[i])
+        others = others[(own[others] != own[i]) & ((place[others] != place[i]) | (not two))]
+        others = others[_bits_apart(bits[others], bits[i]) <= most]
+        for j in others:
+            if own[j] != own[i] and _alike(values[begins[i] : begins[i + 1]], values[begins[j] : begins[j + 1]], percent):
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                own[own == own[j]] = own[i]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 class _Groups:
@@ -194,9 +232,10 @@ class _Groups:
         rows = self.buckets.join(label, "rep")
         sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
         most = sizes.groupBy("key").agg(
-            F.max(F.struct("c", (-F.col("component")).alias("x"))).alias("top"), F.count("*").alias("components")
-        )
-        most = most.where("components > 1").select("key", F.when(F.col("top.c") > 1, -F.col("top.x")).alias("largest"))
+            F.max(F.struct("c", (-F.col("component")).alias("x"))).alias("top"), F.count("*").alias("components"),
+            F.sum("c").alias("members"),
+        )
+        most = most.where("components > 1").select("key", "members", F.when(F.col("top.c") > 1, -F.col("top.x")).alias("largest"))
         rows = rows.join(most, "key")
         return rows.withColumn("main", F.coalesce(F.col("component") == F.col("largest"), F.lit(False))).drop("largest")
 
@@ -210,21 +249,47 @@ class _Groups:
 
     def cross_links(self) -> DataFrame:
         """Links of members outside their bucket's largest component with the other components of the bucket."""
-        rows = materialized(self._labelled().select("key", "rep", "component", "main"), "cross")
-        every = rows.groupBy("key", "component").agg(F.max("main").alias("main"))
-        left = rows.where("not main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        meets = left.join(every, "key").where("component <> cx and (main or cx < component)").select("x", "component").distinct()
+        # of a bucket of two, the first round has compared all there is
+        rows = self._labelled().where("members > 2").select("key", "rep", "component", "main")
+        rows = materialized(rows, "cross")
+        left = rows.where("not main").select("key", F.col("rep").alias("x"))
+        largest = rows.where("main").select("key", "component").distinct()
+        meets = left.join(largest, "key").select("x", "component").distinct()
         size = self.parts.groupBy("component").agg(F.count("*").alias("size"))
         meets = materialized(meets.join(size, "component"), "meets")
         few = meets.where(F.col("size") <= FEW).join(self.parts, "component").select(F.col("x"), F.col("node").alias("y"))
         pairs = few.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return self.confirm(pairs).union(materialized(self._blocks(meets.where(F.col("size") > FEW)), "confirmed"))
+        links = self.confirm(pairs).union(materialized(self._blocks(meets.where(F.col("size") > FEW)), "confirmed"))
+        return links.union(materialized(self._cells(rows.where("not main").drop("main")), "confirmed"))
+
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        """Links among the members ``key, rep, component`` of a bucket, its largest component aside.
+
+        A bucket is dealt into places of about ``BLOCK`` shingles and at most about ``ROWS_AT_ONCE``
+        rows, and every two places meet in a cell, which gives out links only.
+        """
+        signs = self.signs.join(self.members.withColumnRenamed("doc_id", "rep"), "rep")
+        held = rows.join(self.signs.select("rep", "n"), "rep").groupBy("key")
+        places = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS_AT_ONCE)).cast("int").alias("places")
+        sizes = held.agg(places, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "places")
+        dealt = rows.join(sizes, "key").withColumn("place", F.pmod(F.xxhash64("rep"), "places").cast("int"))
+        dealt = dealt.join(signs, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+        dealt = dealt.select(
+            "key", F.least("place", "other").alias("p"), F.greatest("place", "other").alias("q"),
+            "place", "rep", "component", "n", "bits", "members",
+        )
+        percent = self.percent
+
+        def compare(cell: pa.Table) -> pa.Table:
+            return cell_links(cell, percent)
+
+        return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
 
     def _blocks(self, meets: DataFrame) -> DataFrame:
         """Links of members ``x`` with members of large components.
 
         Both sides are dealt into blocks of about ``BLOCK`` shingles, and each block of the one
-        meets each of the other; a task gives out links only.
+        meets each of the other; a task gives out one link per member and block.
         """
         signs = self.signs.join(self.members.withColumnRenamed("doc_id", "rep"), "rep")
         x = meets.select("component", F.col("x").alias("rep")).join(signs, "rep")

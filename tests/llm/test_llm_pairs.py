@@ -1,6 +1,7 @@
 """Near duplicates, components, fingerprints, suffix array, mixing and scores against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -82,6 +83,57 @@ def test_near_duplicates(spark, monkeypatch, n, few):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in expected.items() if i == c}
 
 
+@pytest.mark.parametrize("at_once", [2000, 8])
+def test_near_duplicates_in_a_bucket_of_alike_texts(spark, monkeypatch, at_once):
+    """Texts from one pattern share keys in crowds; only some are alike enough."""
+    monkeypatch.setattr(minhash, "ROWS_AT_ONCE", at_once)
+    rng, base = random.Random(5), [f"b{k}" for k in range(100)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for k in rng.sample(range(100), 6):
+            own[k] = f"e{rng.randrange(10_000)}"
+        texts.append(" ".join(own))
+        if rng.random() < 0.3:
+            own[rng.randrange(100)] = "other"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    got = minhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+    pairs = [(len(a & b), len(a | b)) for a, b in itertools.combinations([shingle_set(t, 2) for t in texts], 2)]
+    assert sum(65 * all_ <= 100 * both < 80 * all_ for both, all_ in pairs) > 1000
+
+
+@pytest.mark.parametrize("places", [1, 3])
+def test_links_of_cells(places):
+    """Every two places meet once, and links only join what is apart."""
+    rng = random.Random(places)
+    texts = random_texts(31, 90)
+    sets = [np.array(sorted({hash(s) % 2**64 for s in shingle_set(t, 2)}), np.uint64) for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = minhash.packed_bits(minhash.signatures(np.concatenate(sets), begins)).tolist()
+    at = [rng.randrange(places) for _ in sets]
+    component = {i: i for i in range(len(sets))}
+    for p in range(places):
+        for q in range(p, places):
+            use = [i for i in range(len(sets)) if at[i] in (p, q)]
+            if not use:
+                continue
+            cell = pa.table(
+                {
+                    "p": [p] * len(use), "q": [q] * len(use), "place": [at[i] for i in use], "rep": use, "component": use,
+                    "n": [len(sets[i]) for i in use], "bits": [bits[i] for i in use],
+                    "members": [sets[i].view(np.int64).tolist() for i in use],
+                }
+            )
+            links = minhash.cell_links(cell, 80).to_pylist()
+            assert len(links) < len(use) and (p == q or all(at[r["a"]] != at[r["b"]] for r in links))
+            for r in links:
+                x, y = component[r["a"]], component[r["b"]]
+                component = {i: min(x, y) if c in (x, y) else c for i, c in component.items()}
+    assert component == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2).items()}
+
+
 def test_near_duplicates_edge_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.components(spark.createDataFrame([], schema)).count() == 0
