@@ -9,11 +9,14 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 
 Names (classes and ids) only hint at such parts. A name hides no element around the longest
 ``article`` or ``main`` or, on a page without one, around most of the text that is no link; and
-names do not count at all if they would leave nothing.
+names do not count at all if they would leave nothing. Reader comments go however long they are.
+A headline (``h1``) right before the container is kept.
 
 Defined cases: null and empty pages, and pages without text, give the empty text; unclosed and
 crossed tags close with the element around them; character references are decoded; nothing is
-cut, whatever the length.
+cut, whatever the length. Repeated rows give equal rows; the first of equally good containers
+is taken; columns named ``text`` or ``n_chars`` are replaced. A ``button``, ``select``,
+``object``, ``iframe`` or ``noscript`` that is not closed before an article begins hides nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<svg\b(?:[^<>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
-    r"|<(script|style|title|noscript|template|textarea|svg|iframe|object|select|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>"
+    r"|<(script|style|title|template|textarea|svg)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    # controls and fallbacks end at their own tag; one that is not closed before an article begins hides nothing
+    r"|<(noscript|iframe|object)\b[^>]*+>(?:[^<]++|<(?!/\2\b|(?:article|main|h1)\b))*+</\2\s*+>"
+    r"|<(select|button)\b[^>]*+>(?:[^<]++|<(?!/\3\b|(?:article|main|p|h[1-6]|ul|ol|table|form|select|button)\b))*+</\3\s*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
@@ -39,8 +45,8 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr input".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_TEXT = frozenset("nav header footer aside form head dialog menu fieldset figcaption audio video canvas map".split())
-PARAGRAPHS = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figure address".split())
+NOT_TEXT = frozenset("nav header footer aside form head dialog menu fieldset audio video canvas map".split())
+PARAGRAPHS = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figure figcaption address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset(("article", "main"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -51,22 +57,36 @@ JUNK = re.compile(
     r"|navbar|navigation|breadcrumbs?|footer|header|masthead|pagination|pager|toolbar|widget|login|signup|paywall)(?:$|[\s_-])",
     re.I,
 )
+#: Reader comments, which may be longer than the article; the second kind only outside of an article.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus)(?:$|[\s_-])", re.I)
+DISCUSSION = re.compile(r"(?:^|[\s_-])(?:reviews|discussions?)(?:$|[\s_-])", re.I)
 #: Names that say what an element has or lacks, not what it is.
 ABOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 TAG_POINTS = {"article": 10.0, "main": 10.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
+#: A slash at the end of a tag; one behind an unquoted value belongs to the value.
+EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 SENTENCE_END = re.compile(r"[.!?。…][\"'”’)]*$")
 
 
 def _junk(tag: str, attributes: str) -> str:
-    """How an element's attributes say that it is not part of the article: ``hidden``, only by its ``name``, or not."""
+    """How an element's attributes say that it is not part of the article: ``hidden``, only by its ``name``, or not.
+
+    Names of reader comments give ``comments``, or ``discussion`` if they may be a part of an article too.
+    """
     junk = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and JUNK.search(ABOUT.sub("", value)):
-                junk = "name"
+            if tag not in ("html", "body", "article", "main"):
+                said = ABOUT.sub("", value)
+                if COMMENTS.search(said):
+                    junk = "comments"
+                elif JUNK.search(said):
+                    junk = junk or "name"
+                elif DISCUSSION.search(said):
+                    junk = junk or "discussion"
         elif name == "role":
             if value.lower() in ROLES:
                 return "hidden"
@@ -84,13 +104,14 @@ class _Page:
     """The block elements of one page and the blocks of text on them.
 
     Elements with a name of junk are dropped, except those that start at a place in ``spared``;
-    without ``spared`` names do not count. ``named`` has the place of each of them and the number
-    of the one around it, ``within`` the innermost around each block element.
+    without ``spared`` names do not count. ``named`` has the place of each of them, the number of
+    the one around it and whether it is, or is within, reader comments; ``within`` has the
+    innermost around each block element.
     """
 
     def __init__(self, html: str, spared: set[int] | None = None):
         self.parent, self.tag, self.dropped = [-1], ["body"], [False]
-        self.named: list[tuple[int, int]] = []
+        self.named: list[tuple[int, int, bool]] = []
         self.within = [-1]
         self.spared = spared
         self.blocks: list[tuple[int, str, int]] = []
@@ -125,10 +146,14 @@ class _Page:
             """Whether an element is dropped, and the innermost one with a name of junk."""
             _, _, hide, inside = stack[-1]
             junk = _junk(tag, attributes) if attributes else ""
-            if junk == "name":
-                self.named.append((start, inside))
+            if junk == "discussion" and any(name in WHOLE for name, *_ in stack):
+                junk = ""
+            named = junk not in ("", "hidden")
+            if named:
+                comments = junk != "name" or (inside >= 0 and self.named[inside][2])
+                self.named.append((start, inside, comments))
                 inside = len(self.named) - 1
-            by_name = junk == "name" and self.spared is not None and start not in self.spared
+            by_name = named and self.spared is not None and start not in self.spared
             return hide or junk == "hidden" or by_name, inside
 
         for m in TOKEN.finditer(html):
@@ -138,11 +163,11 @@ class _Page:
                     if links:
                         linked += m.start() - at
             at = m.end()
-            tag = m[3]
+            tag = m["tag"]
             if tag is None:
                 continue
             tag = tag.lower()
-            if m[2]:
+            if m["end"]:
                 if tag in INLINE:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == tag:
@@ -163,9 +188,9 @@ class _Page:
                 if tag in ("br", "hr"):
                     flush()
                 continue
-            attributes = m[4]
+            attributes = m["rest"]
             if tag in INLINE:
-                if not attributes.endswith("/"):
+                if not EMPTY.search(attributes):
                     stack.append((tag, stack_node(), *judged(tag, attributes, m.start())))
                     links += tag == "a"
                 continue
@@ -187,27 +212,31 @@ class _Page:
             self.tag.append(tag)
             self.dropped.append(hide)
             self.within.append(inside)
-            if not attributes.endswith("/"):
+            if not EMPTY.search(attributes):
                 stack.append((tag, node, hide, inside))
         if at < len(html) and not stack[-1][2]:
             buffer.append(html[at:])
         flush()
 
     def holders(self) -> set[int]:
-        """Places of the elements with a name of junk around the longest article, or else around most of the unlinked text."""
+        """Places of the elements with a name of junk around the longest article, or else around most of the unlinked text.
+
+        An article within reader comments is a comment; comments are not around the text, whatever their length.
+        """
         own = [0] * len(self.parent)
         for node, text, in_links in self.blocks:
             own[node] += len(text) - in_links
-        total, held = sum(own), [0] * len(self.named)
+        comment = [k >= 0 and self.named[k][2] for k in self.within]
+        total, held = sum(size for size, c in zip(own, comment, strict=True) if not c), [0] * len(self.named)
         for node, size in enumerate(own):
-            if self.within[node] >= 0:
+            if self.within[node] >= 0 and not comment[node]:
                 held[self.within[node]] += size
         for k in range(len(held) - 1, -1, -1):
             if self.named[k][1] >= 0:
                 held[self.named[k][1]] += held[k]
         for node in range(len(own) - 1, 0, -1):
             own[self.parent[node]] += own[node]
-        whole = [i for i, t in enumerate(self.tag) if t in WHOLE and own[i] and not self.dropped[i]]
+        whole = [i for i, t in enumerate(self.tag) if t in WHOLE and own[i] and not self.dropped[i] and not comment[i]]
         if not whole:
             return {self.named[k][0] for k, size in enumerate(held) if 2 * size > total}
         around, places = self.within[max(whole, key=lambda i: (own[i], -i))], set()
@@ -246,6 +275,11 @@ class _Page:
         while up > 0 and self.tag[up] not in WHOLE:
             up = self.parent[up]
         kept = {up} if up > 0 else self._with_siblings(best, scores, length, linked, blocks)
+        top = up if up > 0 else best
+        for node in range(1, top):
+            # a headline before the container
+            if self.tag[node] == "h1" and self.parent[node] == self.parent[top] and 2 * linked[node] < length[node]:
+                kept.add(node)
         inside = [False] * n
         for node in range(n):
             inside[node] = node in kept or (node > 0 and inside[self.parent[node]])

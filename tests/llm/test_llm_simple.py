@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -220,3 +221,47 @@ def test_self_closed_svg_ends_at_its_tag():
     text = main_text.main_text(ARTICLE)
     assert main_text.main_text(f"<body><svg viewBox='0 0 1 1'/><div>{ARTICLE}</div></body>") == text
     assert main_text.main_text(f"<body><svg class='a/b'><path d='z'/>gone</svg><div>{ARTICLE}</div></body>") == text
+
+
+PARAGRAPH = "<p>A long sentence, with commas, of the article, goes here and on.</p>"
+COMMENT = "<p>What readers say, at length, and again, is a comment.</p>"
+PARTS = ["nav", "sidebar", "comments", "reviews", "button", "noscript", "form"]
+
+
+def plain_part(kind):
+    """HTML of a part that is no article."""
+    return {
+        "nav": "<nav><a href=/>Home</a> <a href=/x>Other</a></nav>",
+        "sidebar": f"<div class='side-bar'>{COMMENT}</div>",
+        "comments": f"<div id=comments>{COMMENT * 9}</div>",
+        "reviews": f"<section class='user-reviews'>{COMMENT * 5}</section>",
+        "button": "<button class=b><span>Menu</span></button>",
+        "noscript": "<noscript><p>Please turn scripts on.</p></noscript>",
+        "form": "<form><select><option>One<option>Two</select><input></form>",
+    }[kind]
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div id=content>{}</div>", "<div class='post has-comments'>{}</div>"])
+@pytest.mark.parametrize("kind", PARTS)
+def test_planted_parts_go_in_all_orders(frame, kind):
+    body = frame.format(PARAGRAPH * 3)
+    wanted = " ".join([PARAGRAPH[3:-4]] * 3)
+    for other in PARTS:
+        for order in itertools.permutations([body, plain_part(kind), plain_part(other)]):
+            assert main_text.main_text("<body>" + "".join(order) + "</body>") == wanted
+
+
+def test_unclosed_controls_captions_and_headlines():
+    one = PARAGRAPH[3:-4]
+    for tag in ("button", "select", "object", "iframe", "noscript"):
+        for frame in ("<article>{}</article>", "<main><h1>T</h1>{}</main>"):
+            assert one in main_text.main_text(f"<body><div><{tag} a=b>x</div>{frame.format(PARAGRAPH)}</body>")
+    assert main_text.main_text(f"<article>{PARAGRAPH}<figure><img><figcaption>Cap</figcaption></figure></article>") == one + " Cap"
+    for frame in ("<article>{}</article>", "<div class=content>{}</div>"):
+        assert main_text.main_text(f"<body><h1>Head</h1>{frame.format(PARAGRAPH * 2)}</body>") == f"Head {one} {one}"
+        assert main_text.main_text(f"<body><h1><a href=/>Site</a></h1>{frame.format(PARAGRAPH * 2)}</body>") == f"{one} {one}"
+    # a part of the article may be named like comments are
+    assert main_text.main_text(f"<article>{PARAGRAPH}<section id=discussion>{PARAGRAPH}</section></article>") == f"{one} {one}"
+    assert main_text.main_text(f"<article>{PARAGRAPH}</article><div class=comments><article>{COMMENT * 9}</article></div>") == one
+    # many controls that are not closed take no long time
+    assert one in main_text.main_text("<button>" * 20_000 + f"<article>{PARAGRAPH}</article>")
