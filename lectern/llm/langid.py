@@ -6,8 +6,8 @@ unseen word takes the mean log frequency of its known n-grams of the greatest le
 any, and nothing if it has none at all. A text's language is the one with the highest sum.
 
 Words are runs of letters, lower-cased. The model is fitted on a bounded sample of labelled
-rows (``max_rows``) and bounded tables (``max_words``, ``max_grams`` per language and length),
-so it can be broadcast; all rows are predicted from their whole text.
+rows (``max_rows``) and keeps every word and n-gram of theirs, so it can be broadcast; all rows
+are predicted from their whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 if there are no labelled rows, or if no language says anything about any word; ties go to the
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import _groups
@@ -175,8 +175,6 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     max_rows: int = 20_000,
-    max_words: int = 20_000,
-    max_grams: int = 20_000,
 ) -> Model:
     """Fit on labelled rows; rows with a null text or language are left out."""
     rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
@@ -184,9 +182,7 @@ def fit(
     counts = rows.mapInArrow(_counts, "lang string, n int, key long, times long").groupBy("lang", "n", "key").agg(
         F.sum("times").alias("times")
     )
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "key"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    table = top.select("lang", "n", "key", "times").toPandas()
+    table = counts.select("lang", "n", "key", "times").toArrow().to_pandas()
     languages = sorted(table["lang"].unique())
     keys, logs = {}, {}
     for n in range(LONGEST + 1):
