@@ -12,6 +12,7 @@ from functools import update_wrapper
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ SPANS = T.ArrayType(T.StructType().add("token", T.StringType()).add("s", T.Integ
 Offsets = Sequence[tuple[int, int]]
 # What a worker loads: texts to the offsets of their tokens.
 BatchTokenizer = Callable[[list[str]], list[Offsets]]
+# A batch has thousands of texts of any length; Python objects for all their tokens at once would be many times their size.
+CHARACTERS_AT_ONCE = 1_000_000
 _loaded: dict[str, BatchTokenizer] = {}
 
 
@@ -56,7 +59,19 @@ def _called(fn: Callable[[Column], Column], name: str) -> Callable[[Column], Col
 
 
 def _spans(texts: pa.Array, tokenize: BatchTokenizer) -> pa.Array:
-    """Offsets as an Arrow list of structs; tokens are cut from the texts by character."""
+    """Offsets of a batch as an Arrow list of structs, made for about ``CHARACTERS_AT_ONCE`` characters at a time."""
+    sizes = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    found, at = [], 0
+    while at < len(texts) or not found:
+        before = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + CHARACTERS_AT_ONCE, "right")))
+        found.append(_slice_spans(texts.slice(at, stop - at), tokenize))
+        at = stop
+    return found[0] if len(found) == 1 else pa.concat_arrays(found)
+
+
+def _slice_spans(texts: pa.Array, tokenize: BatchTokenizer) -> pa.Array:
+    """Tokens are cut from the texts by character."""
     values = texts.to_pylist()
     found = tokenize([v or "" for v in values])
     counts = np.array([0 if v is None else len(f) for v, f in zip(values, found, strict=True)], np.int64)
@@ -66,5 +81,5 @@ def _spans(texts: pa.Array, tokenize: BatchTokenizer) -> pa.Array:
         names=["token", "s", "e"],
     )
     begins = np.concatenate([[0], np.cumsum(counts)])
-    mask = pa.array([v is None for v in values])
+    mask = pa.array([v is None for v in values], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), entries, mask=mask)
