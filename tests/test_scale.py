@@ -57,6 +57,12 @@ def test_slices_are_bounded_and_lose_no_row():
     assert max(len(p.column("tokens").flatten()) for p in parts if p.num_rows > 1) <= 4
 
 
+def test_a_small_rest_goes_with_the_slice_before():
+    tokens = pa.array([["a"] * n for n in (4, 4, 1)], pa.list_(pa.string()))
+    parts = tfidf._no_small_rest(tfidf._slices(iter([pa.RecordBatch.from_arrays([tokens], names=["tokens"])]), 4), 2)
+    assert [p.num_rows for p in parts] == [1, 2]
+
+
 def test_lsa_takes_stored_rows_and_few_tasks(spark, corpus):
     model = tfidf.tfidf_fit(corpus, 40)
     rows = tfidf.tfidf_rows(corpus.repartition(30), model).persist()
