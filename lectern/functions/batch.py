@@ -15,11 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lectern.functions.offsets import SPANS
 from lectern.functions.text import SpanTokenizer, Tokenizer
 
-SPANS = T.ArrayType(T.StructType().add("token", T.StringType()).add("s", T.IntegerType()).add("e", T.IntegerType()))
 # One text's tokens: start and end characters of each.
 Offsets = Sequence[tuple[int, int]]
 # What a worker loads: texts to the offsets of their tokens.
