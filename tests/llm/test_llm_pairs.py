@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import fingerprint, lattice, minhash, mixing, suffixes
 from lectern.llm.components import connected
@@ -380,3 +381,41 @@ def test_word_hash_matches_python():
     flat = [w for t in texts for w in (t or "").encode().lower().split()]
     assert len(words) == len(flat)
     assert len({(w, h) for w, h in zip(flat, words, strict=True)}) == len(set(flat)) == len(set(words))
+
+
+def test_short_common_passages_are_not_sorted(spark):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    short, long = prose(200), prose(450)
+    texts = [prose(500) + short + prose(500), prose(700) + short + prose(300), prose(300) + long + prose(600), prose(400) + long + prose(500)]
+    docs = spark.createDataFrame([(str(i), t.encode()) for i, t in enumerate(texts)], "doc_id string, data binary")
+    sketch = suffixes.sketches(docs, suffixes.Sizes(400)).cache()
+    classes = sketch.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
+    spans = {r.doc_id: r.spans for r in suffixes.regions(sketch, classes, 400).collect()}
+    assert set(spans) == {"2", "3"}
+    for i in (2, 3):
+        at = texts[i].index(long)
+        merged = suffixes.merged(np.array([tuple(s) for s in spans[str(i)]]))
+        assert any(a <= at and at + 450 <= b for a, b in merged.tolist())
+
+
+def test_sorted_ranges_build_rows_once_and_spread_equal_keys(spark, tmp_path):
+    def rows(frame, finish, schema):
+        def run(batches):
+            for batch in batches:
+                for doc in batch.column("doc_id").to_pylist():
+                    with open(tmp_path / f"built-{doc}", "a") as f:
+                        f.write("x")
+                    i = np.arange(200)
+                    own = [np.full(200, doc), i, np.zeros(200, np.int32), np.ones(200, np.int64), np.where(i < 150, 7, i - 100 - doc), i % 3]
+                    yield finish(pa.RecordBatch.from_arrays([pa.array(c) for c in own], names=["doc_id", "i", "cls", "base", "c0", "c1"]))
+
+        return frame.mapInArrow(run, schema or "doc_id long, i long, cls int, base long, c0 long, c1 long, part int")
+
+    frame = spark.range(4000).select(F.col("id").alias("doc_id")).repartition(3)
+    dealt = suffixes._dealt(frame, rows, ["c0", "c1"], 0, 8).withColumn("p", F.spark_partition_id())
+    parts = dealt.groupBy("p").agg(F.count("*").alias("n"), F.min(F.struct("c0", "c1")).alias("a"), F.max(F.struct("c0", "c1")).alias("b")).orderBy("p").collect()
+    assert sum(r.n for r in parts) == 800_000 and max(r.n for r in parts) < 200_000
+    assert all(tuple(x.b) <= tuple(y.a) for x, y in zip(parts[:-1], parts[1:], strict=True))
+    built = sum(len(f.read_text()) for f in tmp_path.iterdir())
+    assert 4000 <= built < 6000
