@@ -386,14 +386,16 @@ def test_word_hash_matches_python():
 def test_short_common_passages_are_not_sorted(spark):
     rng = random.Random(5)
     prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
-    short, long = prose(200), prose(450)
-    texts = [prose(500) + short + prose(500), prose(700) + short + prose(300), prose(300) + long + prose(600), prose(400) + long + prose(500)]
+    shorts, long = [prose(224) for _ in range(12)], prose(450)
+    texts = [prose(n) + short + prose(900 - n) for short in shorts for n in (300, 500)]
+    first = len(texts)
+    texts += [prose(300) + long + prose(600), prose(400) + long + prose(500)]
     docs = spark.createDataFrame([(str(i), t.encode()) for i, t in enumerate(texts)], "doc_id string, data binary")
     sketch = suffixes.sketches(docs, suffixes.Sizes(400)).cache()
     classes = sketch.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
     spans = {r.doc_id: r.spans for r in suffixes.regions(sketch, classes, 400).collect()}
-    assert set(spans) == {"2", "3"}
-    for i in (2, 3):
+    assert set(spans) == {str(first), str(first + 1)}
+    for i in (first, first + 1):
         at = texts[i].index(long)
         merged = suffixes.merged(np.array([tuple(s) for s in spans[str(i)]]))
         assert any(a <= at and at + 450 <= b for a, b in merged.tolist())
