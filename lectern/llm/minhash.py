@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import connected
 from lectern.llm.words import mix, shingles, word_slices
-from lectern.session import materialized
+from lectern.session import materialized, scratch_mark
 
 # Bands of seven rows, so that sets which share a common line only seldom share a key.
 MINIMA, BANDS, ROWS, BITS = 448, 64, 7, 4
@@ -362,5 +362,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that another document of their group stands for."""
+    mark = scratch_mark(docs.sparkSession)
     gone = components(docs, shingle, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    gone = materialized(gone, "gone", since=mark)
     return docs.join(gone, doc_id, "left_anti")

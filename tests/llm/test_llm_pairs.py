@@ -421,3 +421,49 @@ def test_sorted_ranges_build_rows_once_and_spread_equal_keys(spark, tmp_path):
     assert all(tuple(x.b) <= tuple(y.a) for x, y in zip(parts[:-1], parts[1:], strict=True))
     built = sum(len(f.read_text()) for f in tmp_path.iterdir())
     assert 4000 <= built < 6000
+
+
+def _scratch_left(spark, frames):
+    from lectern import session
+
+    mark = session.scratch_mark(spark)
+    for frame in frames():
+        frame.count()
+    return len(session._handed_out[spark.sparkContext.applicationId][mark:])
+
+
+def test_stages_leave_only_their_last_step_on_disk(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = prose(80)
+    texts = [prose(20) + " " + passage + " " + prose(20) for _ in range(6)] + [prose(40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert _scratch_left(spark, lambda: [suffixes.repeats_removed(docs, 101, min_words=51)]) == 1
+    assert _scratch_left(spark, lambda: [suffixes.removal_facts(docs)]) == 1
+    assert _scratch_left(spark, lambda: [minhash.near_duplicates_removed(docs)]) == 1
+
+
+def test_a_common_passage_sends_two_rows_to_the_other_tasks(spark):
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, copied = prose(700), prose(700)
+    texts = [prose(500) + passage + prose(500) for _ in range(40)] + [copied] * 30
+    docs = spark.createDataFrame([(str(i), t.encode()) for i, t in enumerate(texts)], "doc_id string, data binary").coalesce(1)
+    sketch = suffixes.sketches(docs, suffixes.Sizes(400)).cache()
+    sent = sketch.where("bucket is not null").select("bucket", F.explode("a").alias("a")).groupBy("bucket", "a").count()
+    assert sent.agg(F.max("count")).first()[0] == 2
+    found = {r.doc_id for r in sketch.where("size(found) > 0").collect()}
+    assert found == {str(i) for i in range(40)}
+    classes = sketch.where("bucket is null").groupBy("text_key").agg(F.min("doc_id").alias("rep"))
+    assert {r.doc_id for r in suffixes.regions(sketch, classes, 400).collect()} == found
+
+
+def test_places_that_meet_only_in_other_tasks_are_found(spark):
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = prose(460)
+    texts = [prose(rng.randint(300, 900)) + (passage if i % 3 == 0 else "") + prose(rng.randint(300, 900)) for i in range(12)]
+    expected = brute_repeats(list(enumerate(texts)), 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.removal_facts(docs).collect()}
+    assert got == expected and sum(e[1] > 0 for e in expected.values()) == 4
