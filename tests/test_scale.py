@@ -96,6 +96,33 @@ def test_products_of_a_common_term_are_made_in_slices(monkeypatch):
     assert np.allclose(whole[0], sliced[0]) and (whole[1] == sliced[1]).all()
 
 
+def test_passes_over_the_documents_run_one_after_another(spark, monkeypatch):
+    rng = random.Random(3)
+    asked = [(f"q{i % 9}", i // 9, rng.random()) for i in range(90)]
+    docs = [(d, [*range(d % 7, 10)], [rng.random() for _ in range(d % 7, 10)]) for d in range(30)]
+    questions = spark.createDataFrame(asked, "qid string, key long, qw double")
+    table = spark.createDataFrame(docs, "doc_id long, keys array<long>, weights array<double>")
+    whole = {tuple(r) for r in sparse.sparse_topk(questions, table, 4).collect()}
+    steps, collected, written = [], sparse._collected, sparse.materialized
+    monkeypatch.setattr(sparse, "_collected", lambda df: steps.append("load") or collected(df))
+    monkeypatch.setattr(sparse, "materialized", lambda df, label: steps.append(label) or written(df, label))
+    destroy = sparse.Broadcast.destroy
+    monkeypatch.setattr(sparse.Broadcast, "destroy", lambda b: steps.append("gone") or destroy(b))
+    got = sparse.sparse_topk(questions, table, 4, terms_per_pass=30)
+    assert steps == ["questions", "weights", *["load", "hits", "gone"] * 3]
+    found = {(r.qid, r["rank"]): (r.doc_id, round(r.score, 9)) for r in got.collect()}
+    assert found == {(q, r): (d, round(s, 9)) for q, r, d, s in whole} and len(found) == 36
+
+
+def test_terms_at_the_driver_hold_an_id_once(spark):
+    rows = [("a" * 50, 7, 0.5), ("b", 3, 1.0), ("a" * 50, 3, 2.0)]
+    got = sparse._collected(spark.createDataFrame(rows, "qid string, key long, qw double"))
+    assert [*map(tuple, got.astype({"qid": object}).to_numpy().tolist())] == rows and str(got["qid"].dtype) == "category"
+    asked = sparse.Questions(got)
+    assert asked.ids.tolist() == ["b", "a" * 50] and asked.keys.tolist() == [3, 7] and asked.number.tolist() == [0, 1, 1]
+    assert not len(sparse.Questions(sparse._collected(spark.createDataFrame([], "qid long, key long, qw double"))).ids)
+
+
 def test_a_side_has_few_blocks(spark):
     blocks = lambda n, per: spark.range(1).select(dense._blocks(entry.F.lit(n), per)).first()[0]
     assert [blocks(n, 1024) for n in (0, 10, 5000, 600_000, 10_000_000)] == [1, 1, 5, 8, 77]
