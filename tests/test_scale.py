@@ -81,6 +81,25 @@ def test_best_by_sql_makes_no_row_per_component(spark):
     assert {(r.qid, r["rank"]): r.plain for r in best.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("share", [1, 7, 10**9])
+def test_best_by_sql_sorts_only_pairs_that_reach_the_bound(spark, monkeypatch, share):
+    """Pairs are the rows of a join; without a bound all 2,400 of them were sorted."""
+    rng = np.random.default_rng(4)
+    q, d = rng.standard_normal((4, 5)), np.round(rng.standard_normal((600, 5)), 1)
+    d[300:] = d[:300]
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)] + [(900, []), (901, None)], "doc_id long, embedding array<double>")
+    monkeypatch.setattr(entry, "BOUND_SHARE", share)
+    rows, top = [], entry.top_k
+    monkeypatch.setattr(entry, "top_k", lambda pairs, *a: rows.append(pairs.count()) or top(pairs, *a))
+    best = {(r.qid, r["rank"]): r.plain for r in entry._best_by_sql(asked, given, 3).collect()}
+    want = {(i, r + 1): s for i, row in enumerate(q @ d.T) for r, s in enumerate(sorted(row, reverse=True)[:3])}
+    assert best == pytest.approx(want) and rows[0] == {1: 2400, 7: rows[0], 10**9: 0}[share]
+    assert rows[1] < 400 if share < 10 else rows[1] == 2400
+    monkeypatch.undo()
+    assert not entry._best_by_sql(asked.limit(0), given, 3).count()
+
+
 def test_products_of_a_common_term_are_made_in_slices(monkeypatch):
     import pandas as pd
 
