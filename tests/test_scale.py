@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lectern.functions import batch
-from lectern.operators import dense, lsa, sparse, tfidf
+from lectern.operators import dense, lsa, quantized, sparse, tfidf
 from lectern.plans import retrieval
 
 
@@ -162,6 +162,34 @@ def test_questions_of_a_large_block_are_scored_some_at_a_time(monkeypatch):
     assert whole.sort_values(order).reset_index(drop=True).round(9).equals(sliced.sort_values(order).reset_index(drop=True).round(9))
 
 
+@pytest.mark.parametrize("metric", ["inner_product", "l2"])
+def test_later_passages_are_ranked_only_where_they_reach_the_bound(monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    q, p = np.round(rng.standard_normal((9, 3)), 1), np.round(rng.standard_normal((400, 3)), 1)
+    args = np.array([f"q{i}" for i in range(9)], object), q, rng.permutation(400), p, 5, metric
+    whole = dense.best_hits(*args)
+    ranked, smallest = [], dense._smallest
+    monkeypatch.setattr(dense, "SCORES_AT_ONCE", 9 * 40)
+    monkeypatch.setattr(dense, "_smallest", lambda keys, k: ranked.append(len(keys)) or smallest(keys, k))
+    sliced = dense.best_hits(*args)
+    assert len(ranked) < 9 * 10
+    plain = lambda hits: {(r.qid, r.doc_id, round(r.score, 9)) for r in hits.itertuples()}
+    assert plain(sliced) == plain(whole) and len(plain(whole)) == 45
+
+
+@pytest.mark.parametrize("bits", [4, 8])
+def test_inner_products_of_codes_are_products_of_matrices(monkeypatch, bits):
+    rng = np.random.default_rng(8)
+    steps = quantized.Steps(rng.standard_normal(5) - 3, rng.standard_normal(5) + 3, bits)
+    codes, asked = steps.encode(rng.standard_normal((70, 5))), rng.standard_normal((12, 5))
+    want = np.transpose(sum(t.take(codes[:, i], axis=0) for i, t in enumerate(steps.tables(asked, "inner_product"))))
+    decoded, decode = [], quantized.Steps.decode
+    monkeypatch.setattr(quantized, "VALUES_AT_ONCE", 40)
+    monkeypatch.setattr(quantized.Steps, "decode", lambda s, c: decoded.append(len(c)) or decode(s, c))
+    assert np.allclose(steps.scores(asked, codes, "inner_product"), want, atol=1e-12)
+    assert max(decoded) == 8 and sum(decoded) == 70
+
+
 def test_a_batch_is_tokenized_in_slices(monkeypatch):
     texts, seen = pa.array(["ab cd", None, "x" * 30, "", "é f"]), []
 
